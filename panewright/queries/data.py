@@ -9,7 +9,9 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panewright.operators.malformed import Layout, Parsed, hhmm_or_null, is_null, minutes_or_null, parse, whole_number, yes_or_no
 from panewright.operators.skew import heavy_keys, per_key
+from panewright.operators.timestamps import Conventions, normalise
 from panewright.operators.trailing import rolling
 from panewright.sources import code, table
 
@@ -21,6 +23,87 @@ ON_TIME, ALL_YEARS = "on_time_on_time_performance_2015_3", "allyears2k_headers"
 FIRST_DAY, LAST_DAY = date(2015, 1, 1), date(2015, 3, 31)
 
 
+#: The fields of a record by feed.
+ON_TIME_FIELDS = ("Origin", "Dest", "UniqueCarrier", "FlightNum", "TailNum", "FlightDate", "CRSDepTime", "DepTime", "DepDelayMinutes", "DepDel15", "Remark")
+ALL_YEARS_FIELDS = ("Year", "Month", "DayofMonth", "Deptime", "UniqueCarrier", "FlightNum", "IsDepDelayed", "TailNum", "Origin", "Dest", "Remark")
+LAYOUTS = {
+    "on_time": Layout(ON_TIME_FIELDS, {"DepTime": hhmm_or_null, "DepDelayMinutes": minutes_or_null}),
+    "allyears": Layout(ALL_YEARS_FIELDS, {"IsDepDelayed": yes_or_no}),
+}
+
+
+def _parsed(spark: SparkSession, d: str) -> Parsed:
+    return parse(table(spark, d, "raw_flight_lines"), "line_id", "feed", "line", LAYOUTS)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).failures
+
+
+def _text(c: str):  # noqa: ANN202
+    v = F.trim(F.col(c))
+    return F.when(~is_null(v), v)
+
+
+def p1_on_time(spark: SparkSession, d: str) -> DataFrame:
+    """The sound lines of feed on_time with the on-time table's types; a date or number that is none is null."""
+    rows = _parsed(spark, d).loaded["on_time"]
+    numbers = ("CRSDepTime", "DepTime", "DepDelayMinutes", "DepDel15")
+    typed = {c: whole_number(F.trim(F.col(c))).try_cast("int") for c in numbers} | {c: _text(c) for c in ON_TIME_FIELDS if c not in numbers}
+    typed["FlightDate"] = _text("FlightDate").try_cast("date")
+    return rows.select("line_id", *(typed[c].alias(c) for c in ON_TIME_FIELDS))
+
+
+def p1_all_years(spark: SparkSession, d: str) -> DataFrame:
+    """The sound lines of feed allyears with the all-years table's columns, strings as a CSV reader gives them; empty is null."""
+    rows = _parsed(spark, d).loaded["allyears"]
+    return rows.select("line_id", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in ALL_YEARS_FIELDS))
+
+
+QUERIES |= {"p1_found": p1_found, "p1_on_time": p1_on_time, "p1_all_years": p1_all_years}
+_SQL_LINES = """with l as (select line_id, feed, regexp_full_match(line, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') as sound,
+ list_transform(regexp_extract_all(',' || line, '(?s),((?:"(?:[^"]|"")*"|[^",]*))', 1), lambda f: case when starts_with(f, '"') then replace(f[2:-2], '""', '"') else f end) as fs
+ from (select line_id, feed, coalesce(line, '') as line from raw_flight_lines)),
+v as (select *, trim(fs[8], ' ') as dep, trim(fs[9], ' ') as delay, trim(fs[7], ' ') as late from l),
+n as (select *, case when regexp_full_match(dep, '[0-9]+([.]0+)?') then try_cast(split_part(dep, '.', 1) as bigint) end as dep_n,
+ case when regexp_full_match(delay, '[0-9]+([.]0+)?') then try_cast(split_part(delay, '.', 1) as bigint) end as delay_n from v),
+r as (select *, case when not sound then ['quoting'] when len(fs) <> 11 then ['columns'] else list_filter([
+ case when feed = 'on_time' and dep not in ('', 'NA') and not coalesce(dep_n between 0 and 2400 and dep_n % 100 < 60, false) then 'DepTime' end,
+ case when feed = 'on_time' and delay not in ('', 'NA') and not coalesce(delay_n between 0 and 2880, false) then 'DepDelayMinutes' end,
+ case when feed = 'allyears' and upper(late) not in ('YES', 'NO') then 'IsDepDelayed' end], lambda x: x is not null) end as reasons from n)"""
+SQL["p1_found"] = f"{_SQL_LINES} select line_id, unnest(reasons) as reason from r"
+
+
+def _sql_typed(i: int, c: str) -> str:
+    v = f"trim(fs[{i}], ' ')"
+    if c in ("CRSDepTime", "DepTime", "DepDelayMinutes", "DepDel15"):
+        return f"case when regexp_full_match({v}, '[0-9]+([.]0+)?') then try_cast(split_part({v}, '.', 1) as int) end as {c}"
+    return f"try_cast(case when {v} not in ('', 'NA') then {v} end as {'date' if c == 'FlightDate' else 'varchar'}) as {c}"
+
+
+SQL["p1_on_time"] = f"{_SQL_LINES} select line_id, " + ", ".join(_sql_typed(i, c) for i, c in enumerate(ON_TIME_FIELDS, 1)) + " from r where feed = 'on_time' and len(reasons) = 0"
+SQL["p1_all_years"] = f"{_SQL_LINES} select line_id, " + ", ".join(f"nullif(fs[{i}], '') as {c}" for i, c in enumerate(ALL_YEARS_FIELDS, 1)) + " from r where feed = 'allyears' and len(reasons) = 0"
+
+#: Dates with slashes are month first, dotted ones day first.
+CONVENTIONS = Conventions(("iso", "compact", "slash_mdy", "dot_dmy", "day_name", "name_day"))
+
+
+def p2_moments(spark: SparkSession, d: str) -> DataFrame:
+    """Every scheduled and actual departure of departure_stamps, each carrier's messages being one sequence."""
+    zones = table(spark, d, "airports").groupBy(code("airport_code").alias("__code")).agg(F.min("tz_name").alias("__tz"))
+    stamps = table(spark, d, "departure_stamps")
+    placed = stamps.join(zones, code("Origin") == F.col("__code"), "left")
+    return normalise(placed, "stamp_id", F.col("UniqueCarrier"), "FlightDate", ("CRSDepTime", "DepTime"), "__tz", CONVENTIONS)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    named = p2_moments(spark, d).where("status is not null")
+    return named.select("stamp_id", "field", F.when(F.col("status") == "ok", F.col("moment")).otherwise(F.col("status")).alias("moment"))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_moments": p2_moments}
+
+
 def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     """All of the trailing periods' columns for DepDel15."""
     return rolling(table(spark, d, ON_TIME), code("Origin"), F.col("FlightDate"), F.col("DepDel15"), FIRST_DAY, LAST_DAY, (7, 30), "origin")
