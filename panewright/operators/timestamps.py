@@ -61,22 +61,29 @@ class Conventions:
     step_back_day: float = 0.05
 
 
-def date_candidates(text: Column, rules: Conventions) -> Column:
-    """Array of struct<format, day>: the days since 1970 that a text may mean; empty for null and for no valid date."""
-    admitted = [x for x in DATE_FORMATS if rules.dates is None or x[0] in rules.dates]
-    read = F.array_compact(F.array(*(F.when(text.rlike(p), F.struct(F.lit(n).alias("format"), F.split(F.regexp_replace(text, p, to), "-").alias("ymd"))) for n, p, to in admitted)))
+def _with_days(df: DataFrame, text: Column, rules: Conventions) -> tuple[DataFrame, list[int]]:
+    """Adds `__f<i>` and `__d<i>`, the format and the days since 1970 of the i-th reading of a date; null where there is none.
 
-    def day(x: Column) -> Column:
-        y, m, d = (x["ymd"][i] for i in range(3))
-        names = F.create_map(*(F.lit(v) for i, n in enumerate(MONTHS, 1) for key in dict.fromkeys((n, n[:3])) for v in (key, str(i))))
-        month = F.when(m.rlike("[A-Za-z]"), F.try_element_at(names, F.lower(m))).otherwise(m)
+    The patterns exclude each other but for those that swap day and month, so a text has two readings at most, the second of which is given only
+    where it is another day. Flat expressions, no arrays, so that Spark compiles them.
+    """
+    admitted = [x for x in DATE_FORMATS if rules.dates is None or x[0] in rules.dates]
+    readings: list[dict[str, tuple[str, str]]] = [{}, {}]
+    for name, pattern, to in admitted:
+        readings[pattern in readings[0]][pattern] = (name, to)
+    used = [i for i, r in enumerate(readings) if r]
+    names = F.create_map(*(F.lit(v) for i, n in enumerate(MONTHS, 1) for key in dict.fromkeys((n, n[:3])) for v in (key, str(i))))
+    for i in used:
+        said = F.coalesce(*(F.when(text.rlike(p), F.regexp_replace(text, p, f"{n}-{to}")) for p, (n, to) in readings[i].items()))
+        df = df.withColumn(f"__s{i}", F.split(said, "-"))
+        y, m, d = (F.col(f"__s{i}")[k] for k in (1, 2, 3))
+        month = F.when(m.rlike("[A-Za-z]"), F.coalesce(F.try_element_at(names, F.lower(m)), F.lit("0"))).otherwise(m)
         year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-        return F.unix_date(F.concat_ws("-", year, F.lpad(F.coalesce(month, F.lit("0")), 2, "0"), F.lpad(d, 2, "0")).try_cast("date"))
-
-    days = F.transform(F.coalesce(read, F.array()), lambda x: F.struct(x["format"].alias("format"), day(x).alias("day")))
-    valid = F.filter(days, lambda x: x["day"].isNotNull())
-    # A day that two formats agree on is one interpretation.
-    return F.filter(valid, lambda x, i: ~F.exists(F.slice(valid, F.lit(1), i), lambda y: y["day"] == x["day"]))
+        day = F.unix_date(F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(d, 2, "0")).try_cast("date")).cast("bigint")
+        if i:
+            day = F.when(~day.eqNullSafe(F.col("__d0")), day)
+        df = df.withColumn(f"__d{i}", day).withColumn(f"__f{i}", F.col(f"__s{i}")[0])
+    return df, used
 
 
 def candidates(df: DataFrame, value: str, date: str, zone: str, rules: Conventions, zones: list[str]) -> DataFrame:
@@ -87,6 +94,7 @@ def candidates(df: DataFrame, value: str, date: str, zone: str, rules: Conventio
     twice: an entry for each moment). The array is empty for null, for what is no valid date or time, for a time of day without a
     valid date, and for a wall-clock time without a zone that is known.
     """
+    outer = set(df.columns)
     v = F.trim(F.col(value))
     df = df.withColumns({"__v": v, "__z": F.regexp_extract(v, _ZONE, 1)})
     body = F.when(F.col("__z") == "", F.col("__v")).otherwise(F.regexp_replace("__v", _ZONE, ""))
@@ -110,7 +118,8 @@ def candidates(df: DataFrame, value: str, date: str, zone: str, rules: Conventio
     h = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
     time_of_day = F.when(sound, ((h * 3600 + minute * 60 + second).cast("bigint") * 1_000_000) + micro)
     day_text = F.when(p[0] == "", F.trim(F.col(date))).otherwise(p[0])
-    df = df.withColumns({"__t": time_of_day, "__days": F.when(time_of_day.isNotNull(), date_candidates(day_text, rules))})
+    df = df.withColumn("__t", time_of_day).withColumn("__day", F.when(F.col("__t").isNotNull(), day_text))
+    df, readings = _with_days(df, F.col("__day"), rules)
 
     z = F.col("__z")
     offsets = F.create_map(*(F.lit(x) for pair in ABBREVIATIONS.items() for x in pair))
@@ -123,22 +132,28 @@ def candidates(df: DataFrame, value: str, date: str, zone: str, rules: Conventio
     df = df.withColumns({"__off": fixed.cast("bigint") * 1_000_000, "__name": F.when(named.isin(*zones), named)})
 
     wall = lambda u: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(u), F.col("__name")))
-
-    def moments(x: Column) -> Column:
-        local = x["day"].cast("bigint") * DAY_US + F.col("__t")
-        form = F.concat_ws("/", x["format"], p[6])
-        entry = lambda status, moment: F.struct(form.alias("format"), F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"), moment.alias("moment"))
-        around = F.array(*(local - (wall(local + F.lit(s * DAY_US)) - (local + F.lit(s * DAY_US))) for s in (-1, 1)))
-        held = F.array_distinct(F.filter(around, lambda u: wall(u) == local))
-        status = F.when(F.size(held) == 1, "ok").otherwise("overlap")
-        in_zone = F.when(F.size(held) == 0, F.array(entry("gap", F.lit(None).cast("bigint")))).otherwise(F.transform(held, lambda u: entry(status, u)))
-        return F.when(F.col("__off").isNotNull(), F.array(entry("ok", local - F.col("__off")))).when(F.col("__name").isNotNull(), in_zone)
-
+    entry = lambda form, status, moment: F.struct(form.alias("format"), F.lit(status).alias("status"), moment.cast("bigint").alias("moment"))
+    entries = []
+    for i in readings:
+        # The zone's offsets a day before and after give the moments that the wall-clock time may be; those count that read as it.
+        local, before, after, form = (F.col(f"__{c}{i}") for c in ("l", "u", "w", "form"))
+        df = df.withColumns({f"__l{i}": F.col(f"__d{i}") * DAY_US + F.col("__t"), f"__form{i}": F.concat_ws("/", f"__f{i}", p[6])})
+        df = df.withColumns({f"__u{i}": local * 2 - DAY_US - wall(local - DAY_US), f"__w{i}": local * 2 + DAY_US - wall(local + DAY_US)})
+        steady = before == after
+        df = df.withColumns({f"__ub{i}": steady | (wall(before) == local), f"__wb{i}": ~steady & (wall(after) == local)})
+        is_before, is_after, twice = F.col(f"__ub{i}"), F.col(f"__wb{i}"), F.col(f"__ub{i}") & F.col(f"__wb{i}")
+        placed = F.col("__off").isNull() & F.col("__name").isNotNull() & local.isNotNull()
+        entries += [
+            F.when(F.col("__off").isNotNull() & local.isNotNull(), entry(form, "ok", local - F.col("__off"))),
+            F.when(placed & is_before & ~twice, entry(form, "ok", before)), F.when(placed & is_after & ~twice, entry(form, "ok", after)),
+            F.when(placed & twice, entry(form, "overlap", before)), F.when(placed & twice, entry(form, "overlap", after)),
+            F.when(placed & ~is_before & ~is_after, entry(form, "gap", F.lit(None))),
+        ]
     epoch = F.when((z == "") & b.rlike(r"\A(?:[0-9]{10}|[0-9]{13}|[0-9]{16})\z"), F.rpad(b, 16, "0").cast("bigint"))
-    empty = F.array().cast("array<struct<format:string,status:string,moment:bigint>>")
-    of_epoch = F.array(F.struct(F.lit("epoch").alias("format"), F.lit("ok").alias("status"), epoch.alias("moment")))
-    read = F.coalesce(F.flatten(F.filter(F.transform(F.coalesce("__days", F.array()), moments), lambda a: a.isNotNull())), empty)
-    return df.withColumn("candidates", F.when(epoch.isNotNull(), of_epoch).otherwise(read)).drop("__v", "__z", "__b", "__p", "__t", "__days", "__off", "__name")
+    df = df.withColumn("__e", epoch)
+    entries.append(F.when(F.col("__e").isNotNull(), entry(F.lit("epoch"), "ok", F.col("__e"))))
+    kept = [c for c in df.columns if not c.startswith("__") or c in outer]
+    return df.select(*kept, F.array_compact(F.array(*entries)).alias("candidates"))
 
 
 def known_zones(df: DataFrame) -> list[str]:
@@ -266,7 +281,7 @@ def _chain(outlines: list[dict], rules: Conventions) -> dict[tuple[int, int], tu
     return chosen
 
 
-def choose(df: DataFrame, source: Column, order: Column, rules: Conventions, rows_per_range: int = 250_000, prepare=None) -> DataFrame:  # noqa: ANN001
+def choose(df: DataFrame, source: Column, order: Column, rules: Conventions, rows_per_range: int = 50_000, prepare=None) -> DataFrame:  # noqa: ANN001
     """`df` with `pick`: of each record's `candidates` the position (from 0) on its source's cheapest path; null where there are none.
 
     `prepare` may add the candidates once the records are in ranges, so that they aren't shuffled. Nulls are a source of their own. Records that tie
@@ -311,7 +326,7 @@ def choose(df: DataFrame, source: Column, order: Column, rules: Conventions, row
 
 
 def normalise(
-    df: DataFrame, record_id: str, source: Column, date: str, values: tuple[str, ...], zone: str, rules: Conventions, rows_per_range: int = 250_000,
+    df: DataFrame, record_id: str, source: Column, date: str, values: tuple[str, ...], zone: str, rules: Conventions, rows_per_range: int = 50_000,
 ) -> DataFrame:
     """One row per record and value column: `record_id`, `field`, `value`, `n_interpretations`, `format`, `status`, `moment` (text) and `micros`.
 
