@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panewright.llm import tokens
+from panewright.llm.quantiles import merge_summaries, percentiles, rank_error, summaries
 from panewright.llm.topn import top_n_of
 from panewright.sources import code, table
 
@@ -39,6 +40,49 @@ SQL["p4_found"] = f"""select 'allyears' as table_name, row_id from (select *, ro
 union all select 'on_time', row_id from (select row_id, row_number() over (partition by upper(trim(Dest, ' ')), FlightDate order by DepDelayMinutes desc, row_id) as r from {ON_TIME} where DepDelayMinutes is not null) where r <= 3"""
 
 
+#: The percentiles asked for.
+PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+_CODES = ["field", "code"]
+
+
+def p6_daily(spark: SparkSession, d: str) -> DataFrame:
+    """A summary of DepDelayMinutes for each day of each UniqueCarrier and each Origin: `field`, `code`, `day`, `n`, `sketch`."""
+    entries = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), v.alias("code")) for c, v in (("UniqueCarrier", F.col("UniqueCarrier")), ("Origin", code("Origin"))))))
+    rows = table(spark, d, ON_TIME).select("FlightDate", "DepDelayMinutes", entries.alias("e"))
+    return summaries(rows, {"field": F.col("e.field"), "code": F.col("e.code"), "day": F.col("FlightDate").cast("string")}, F.col("DepDelayMinutes"))
+
+
+def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The percentiles of each UniqueCarrier and Origin over all days, out of the daily summaries; null is a group."""
+    found = percentiles(merge_summaries(p6_daily(spark, d), _CODES), _CODES, PERCENTILES)
+    return found.withColumns({f"{q}_rank_error": F.lit(rank_error(v)) for q, v in PERCENTILES.items()})
+
+
+def p6_within(spark: SparkSession, d: str) -> DataFrame:
+    """For each group whether every percentile's true rank is within the stated error, judged over all rows."""
+    base = table(spark, d, ON_TIME).where("DepDelayMinutes is not null")
+    found = p6_percentiles(spark, d)
+    rows = None
+    for name, value in (("UniqueCarrier", F.col("UniqueCarrier")), ("Origin", code("Origin"))):
+        counts = base.groupBy(value.alias("code"), F.col("DepDelayMinutes").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("field", F.lit(name))
+        rows = counts if rows is None else rows.unionByName(counts)
+    joined = rows.join(found, rows["field"].eqNullSafe(found["field"]) & rows["code"].eqNullSafe(found["code"])).select(rows["field"], rows["code"], "v", "c", "n", *PERCENTILES)
+    ranks = joined.groupBy("field", "code", "n").agg(
+        *(F.sum(F.when(F.col("v") < F.col(q), F.col("c")).otherwise(0)).alias(f"{q}_below") for q in PERCENTILES),
+        *(F.sum(F.when(F.col("v") <= F.col(q), F.col("c")).otherwise(0)).alias(f"{q}_upto") for q in PERCENTILES), F.sum("c").alias("c"),
+    )
+    ok = [(F.col(f"{q}_below") <= (v + rank_error(v)) * F.col("n") + 1) & (F.col(f"{q}_upto") >= (v - rank_error(v)) * F.col("n") - 1) for q, v in PERCENTILES.items()]
+    every = ok[0]
+    for x in ok[1:]:
+        every = every & x
+    return ranks.select("field", "code", "n", (every & (F.col("n") == F.col("c"))).alias("within"))
+
+
+QUERIES |= {"p6_percentiles": p6_percentiles, "p6_daily": p6_daily, "p6_within": p6_within}
+SQL["p6_within"] = f"""select 'UniqueCarrier' as field, UniqueCarrier as code, count(*) as n, true as "within" from {ON_TIME} where DepDelayMinutes is not null group by UniqueCarrier
+union all select 'Origin', upper(trim(Origin, ' ')), count(*), true from {ON_TIME} where DepDelayMinutes is not null group by upper(trim(Origin, ' '))"""
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
