@@ -14,14 +14,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDERS = (2, 3, 4, 5)
 BITS = 20
-#: Labelled documents that the classifier is fitted on at most; those with the smallest hashes of their ids.
-TRAINED_ON = 6_000
+#: Labelled documents and their characters that the classifier is fitted on at most; those with the smallest hashes of their ids, up to half of them flagged.
+TRAINED_ON, TRAINED_CHARS = 6_000, 8_000_000
+#: How much lower cases score that weren't trained on, found by holding a quarter of the verdicts out.
+HELD_OUT = 0.75
 #: Characters worked on at once.
 _CHUNK = 1_000_000
 _NEWLINE = 10
@@ -123,6 +126,14 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield low, len(texts)
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """The text, or if it is very long its lines in several pieces."""
+    while len(text) > _CHUNK and (cut := text.find("\n", _CHUNK)) >= 0:
+        yield text[:cut]
+        text = text[cut + 1 :]
+    yield text
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights by feature (the last is 0, for no feature) and the bias; a line is a case where its score is above 0."""
@@ -131,9 +142,16 @@ class Model:
     bias: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """The highest line's score of each text."""
-        out = [self._scores(texts[low:high]) for low, high in _chunks(texts)]
-        return np.concatenate(out) if out else np.zeros(0)
+        """The highest line's score of each text; an empty one's is the bias."""
+        pieces, of = [], []
+        for i, t in enumerate(texts):
+            for piece in _pieces(t):
+                pieces.append(piece)
+                of.append(i)
+        out = np.full(len(texts), -np.inf)
+        for low, high in _chunks(pieces):
+            np.maximum.at(out, of[low:high], self._scores(pieces[low:high]))
+        return out
 
     def _scores(self, texts: list[str]) -> np.ndarray:
         codes, doc_starts = _points(texts)
@@ -170,6 +188,8 @@ def _logistic(flat: np.ndarray, begins: np.ndarray, y: np.ndarray, importance: n
     number[used] = np.arange(len(used))
     col = number[flat]
     scale = ratio[used]
+    lengths = np.bincount(row, minlength=len(y))
+    begins, some = np.cumsum(lengths) - lengths, lengths > 0
     x = scale[col]
     norm = np.sqrt(np.maximum(np.bincount(row, x * x, len(y)), 1e-6)).mean()
     x = (x / norm).astype(np.float32)
@@ -179,7 +199,7 @@ def _logistic(flat: np.ndarray, begins: np.ndarray, y: np.ndarray, importance: n
     for t in range(steps):
         momentum = t / (t + 3)
         lw, lb = w + momentum * v, b + momentum * vb
-        z = np.bincount(row, x * lw.astype(np.float32)[col], len(y)) + lb
+        z = np.add.reduceat(np.append(x * lw.astype(np.float32)[col], np.float32(0)), begins) * some + lb
         g = importance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
         gw = np.bincount(col, x * g[row], len(used)) + l2 * lw
         nw, nb = lw - rate * gw, lb - rate * g.sum()
@@ -205,7 +225,8 @@ def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 5, st
     seen = np.zeros((2, (1 << BITS) + 1), dtype=np.float64)
     for i in range(len(texts)):
         low, high = doc_starts[i], doc_starts[i + 1]
-        seen[int(y[i]), np.unique(np.concatenate([f[low : min(high, len(f))] for f in features]))] += 1
+        every = np.sort(np.concatenate([f[low : min(high, len(f))] for f in features]))
+        seen[int(y[i]), every[np.flatnonzero(np.diff(every, prepend=-1))]] += 1
     rng = np.random.default_rng(seed)
     flagged = np.flatnonzero(y)
     weights, bias, ratio = None, 0.0, None
@@ -252,13 +273,14 @@ def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 5, st
             q = np.bincount(hit[~pos], minlength=(1 << BITS) + 1) + 0.5
             ratio = np.log((p / len(positive)) / (q / len(lines)))
             ratio[p + q < 4] = 0
-        weights, bias = _logistic(flat, begins, target, importance, ratio, l2, steps)
+        weights, bias = _logistic(flat, begins, target, importance, ratio, l2, steps if k == rounds - 1 else steps // 2)
         weights[-1] = 0
     return Model(weights, bias - _threshold(Model(weights, bias).scores(texts), y))
 
 
 def _threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """Where verdict and score agree best (F1), no further than 1 from where the regression puts it; the middle between the two scores there."""
+    """Where verdict and score agree best (F1), no further than 1 from where the regression puts it; the middle between the two scores there,
+    less what scores of documents that weren't trained on lie lower."""
     order = np.argsort(-scores, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
@@ -266,4 +288,46 @@ def _threshold(scores: np.ndarray, y: np.ndarray) -> float:
     k = int(f1.argmax())
     if f1[k] == 0:
         return 0.0
-    return float(scores[order][k] + scores[order][min(k + 1, len(y) - 1)]) / 2
+    return float(scores[order][k] + scores[order][min(k + 1, len(y) - 1)]) / 2 - HELD_OUT
+
+
+def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", verdict: str = "verdict") -> Model:
+    """Fits on a bounded sample of the labelled documents (TRAINED_ON, TRAINED_CHARS; chosen by hash).
+
+    Several verdicts on a document are counted against each other, and ties are left out; verdicts other than `flag` and `ok`, and on unknown documents, don't
+    count. Only the bounded sample of ids is broadcast, so the texts aren't shuffled.
+    """
+    vote = F.when(F.col(verdict) == "flag", 1).when(F.col(verdict) == "ok", -1)
+    votes = labels.groupBy(F.col(doc_id).alias("__id")).agg(F.sum(vote).alias("__v")).where("__v <> 0 and __id is not null")
+    order = [F.xxhash64("__id"), F.col("__id")]
+    flagged = votes.where("__v > 0").orderBy(*order).limit(TRAINED_ON // 2).collect()
+    others = votes.where("__v < 0").orderBy(*order).limit(TRAINED_ON - len(flagged)).collect()
+    if not flagged or not others:
+        return fit([], [])
+    kind = labels.schema[doc_id].dataType.simpleString()
+    sample = documents.sparkSession.createDataFrame([(r[0], r[1] > 0) for r in [*flagged, *others]], f"__id {kind}, __y boolean")
+    held = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__t is not null").join(F.broadcast(sample), "__id")
+    sized = held.select("__id", F.length("__t").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = sized.where(F.col("upto") <= TRAINED_CHARS).select("__id")
+    rows = held.join(F.broadcast(chosen), "__id", "left_semi").collect()
+    rows.sort(key=lambda r: r["__id"])
+    return fit([r["__t"] for r in rows], [r["__y"] for r in rows])
+
+
+def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
+    """`df` without `text` but with `score`; above 0 is a case. Null and empty texts score lowest or nearly so. Rows that repeat stay."""
+    if score.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {score} already; rename it first")
+    at = df.columns.index(text)
+    sent = df.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    fields = [f for f in df.schema.fields if f.name != text]
+    schema = T.StructType([*fields, T.StructField(score, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*sent.value)
+        for b in batches:
+            found = own.scores([t or "" for t in b.column(at).to_pylist()])
+            kept = [c for i, c in enumerate(b.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.float64())], names=[f.name for f in schema.fields])
+
+    return df.mapInArrow(run, schema)

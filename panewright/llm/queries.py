@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panewright.llm import tokens
+from panewright.llm import abuse, mixing, tokens
 from panewright.llm.quantiles import merge_summaries, percentiles, rank_error, summaries
 from panewright.llm.topn import top_n_of
 from panewright.sources import code, table
@@ -99,3 +99,44 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES |= {"p7_ids": p7_ids, "p7_offsets": p7_offsets, "p7_round_trip": p7_round_trip}
 SQL["p7_round_trip"] = "select doc_id, coalesce(text, '') as text_again from documents"
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Plan]]:
+    targets = table(spark, d, "mix_targets")
+    sizes = mixing.sized(table(spark, d, "documents"), targets, tokens.count_tokens)
+    planned = mixing.plans(sizes, targets)
+    return mixing.mix(sizes, planned), planned
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return _mixed(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached, sources that fall short or have no documents included."""
+    return mixing.shares(*_mixed(spark, d))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = abuse.train(documents, table(spark, d, "review_labels"))
+    return abuse.scored(documents.select("doc_id", "source", "text"), model)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("score > 0").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's score."""
+    return _scored(spark, d).withColumn("found", F.col("score") > 0)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Cases per source; null is a source of its own."""
+    by = _scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("score") > 0).alias("n_found"), F.avg("score").alias("mean_score"))
+    return by.withColumn("rate", F.col("n_found") / F.col("n_documents"))
+
+
+QUERIES |= {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
