@@ -1,0 +1,44 @@
+"""Windows that can be computed as rows arrive: row numbers and running totals over streams.
+
+Spark rejects ROWS frames on streams. A running frame needs no row again, only what its partition has added up to, so the state of a key is a few numbers.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def running(stream: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """The rows of a stream with `n` (row number), `total`, `least` and `most` of `value` (a number, as double) so far, per key.
+
+    Within a micro-batch rows go by `order`, nulls first; a later batch goes on where the last one ended, whatever its order values. A null value adds to
+    nothing but `n`. Null keys are a key. Rows come out once, in append mode; a key's state survives restarts with the query's checkpoint. Also runs on a batch.
+    """
+    if clash := {"n", "total", "least", "most"} & set(stream.columns):
+        raise ValueError(f"the stream has the columns {sorted(clash)} already")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    names = [f.name for f in stream.schema.fields]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total, least, most = state.get if state.exists else (0, None, None, None)
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable", na_position="first", ignore_index=True)
+        v = rows[value].astype(float)
+        carried = pd.concat([pd.Series([total, least, most], index=["t", "l", "m"], dtype=float).to_frame().T] * (len(rows) > 0), ignore_index=True)
+        before = {c: carried[c].iloc[0] for c in carried}
+        sums = v.fillna(0).cumsum() + (0.0 if pd.isna(before["t"]) else before["t"])
+        known = v.notna().cumsum().gt(0) | (not pd.isna(before["t"]))
+        lows = pd.concat([pd.Series([before["l"]]), v], ignore_index=True).cummin().ffill().iloc[1:].reset_index(drop=True)
+        highs = pd.concat([pd.Series([before["m"]]), v], ignore_index=True).cummax().ffill().iloc[1:].reset_index(drop=True)
+        out = rows[names].assign(n=range(n + 1, n + 1 + len(rows)), total=sums.where(known), least=lows, most=highs)
+        end = out.iloc[-1]
+        state.update((int(end["n"]), *(None if pd.isna(end[c]) else float(end[c]) for c in ("total", "least", "most"))))
+        yield out
+
+    grouped = stream.groupBy(*keys)
+    return grouped.applyInPandasWithState(
+        step, f"{fields}, n bigint, total double, least double, most double", "n bigint, total double, least double, most double", "append", GroupStateTimeout.NoTimeout,
+    )
