@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ BITS = 20
 #: Labelled documents and their characters that the classifier is fitted on at most; those with the smallest hashes of their ids, up to half of them flagged.
 TRAINED_ON, TRAINED_CHARS = 6_000, 8_000_000
 #: How much lower cases score that weren't trained on, found by holding a quarter of the verdicts out.
-HELD_OUT = 0.75
+HELD_OUT = 0.25
 #: Characters worked on at once.
 _CHUNK = 1_000_000
 _NEWLINE = 10
@@ -34,6 +35,8 @@ _NEWLINE = 10
 _LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ο": "o", "α": "a", "ι": "i", "ν": "v", "к": "k", "н": "h", "т": "t", "м": "m", "в": "b"}
 #: Characters that show nothing.
 _INVISIBLE = np.array([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF], dtype=np.uint32)
+#: Letters that the digits 0 to 9 stand for inside words; digits that stand for none are 0.
+_SHAPED = np.array([ord(c) for c in "oi0eas0t00"], dtype=np.uint32)
 _LIKE = np.arange(0x500, dtype=np.uint32)
 for _from, _to in _LOOKALIKES.items():
     _LIKE[ord(_from)] = ord(_to)
@@ -42,13 +45,17 @@ for _from, _to in _LOOKALIKES.items():
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, each after a line break and one at the end; and where each text's break is.
 
-    Lower case; all digits are one. Disguises are undone: invisible characters, look-alike letters beside Latin ones, letters spaced out, and runs
-    of three or more of one character, which become one.
+    Lower case; all digits are one. Disguises are undone: invisible characters, look-alike letters and digits beside Latin letters, letters spaced
+    out, and runs of three or more of one character, which become one.
     """
     folded = [t.lower() for t in texts]
     joined = "\n" + "\n".join(folded) + "\n"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in folded])])
+    for _ in range(2):
+        odd = np.flatnonzero((codes >= 48) & (codes <= 57))
+        near = _latin(codes[odd - 1]) | _latin(codes[odd + 1])
+        codes[odd[near]] = _SHAPED[codes[odd[near]] - 48]
     codes[(codes >= 48) & (codes <= 57)] = 48
     codes[codes == 13] = _NEWLINE
 
@@ -209,7 +216,7 @@ def _logistic(flat: np.ndarray, begins: np.ndarray, y: np.ndarray, importance: n
     return full, float(b)
 
 
-def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 5, steps: int = 60, l2: float = 1e-4, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 5, steps: int = 150, l2: float = 1e-4, seed: int = 7, flagged_weight: float = 0.05, least: int = 2) -> Model:
     """Trains on documents and verdicts. Without flagged or without other documents, no text is a case."""
     y = np.array(labels, dtype=bool)
     if not y.any() or y.all():
@@ -261,7 +268,7 @@ def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 5, st
             lines = lines[~((sums[lines] + bias > 1.5))] if (sums[lines] + bias > 1.5).mean() < 0.02 else lines
         rows = np.concatenate([top[positive], lines])
         target = np.concatenate([np.ones(len(positive)), np.zeros(len(lines))])
-        importance = np.where(target == 1, max(1.0, 0.2 * len(lines) / max(len(positive), 1)), 1.0)
+        importance = np.where(target == 1, max(1.0, flagged_weight * len(lines) / max(len(positive), 1)), 1.0)
         flat, begins = _rows(codes, starts, ends, rows, features)
         if k:
             # Ratios of the lines themselves, now that they are known.
@@ -272,7 +279,7 @@ def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 5, st
             p = np.bincount(hit[pos], minlength=(1 << BITS) + 1) + 0.5
             q = np.bincount(hit[~pos], minlength=(1 << BITS) + 1) + 0.5
             ratio = np.log((p / len(positive)) / (q / len(lines)))
-            ratio[p + q < 4] = 0
+            ratio[p + q < least + 1] = 0
         weights, bias = _logistic(flat, begins, target, importance, ratio, l2, steps if k == rounds - 1 else steps // 2)
         weights[-1] = 0
     return Model(weights, bias - _threshold(Model(weights, bias).scores(texts), y))
@@ -308,10 +315,22 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     sample = documents.sparkSession.createDataFrame([(r[0], r[1] > 0) for r in [*flagged, *others]], f"__id {kind}, __y boolean")
     held = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__t is not null").join(F.broadcast(sample), "__id")
     sized = held.select("__id", F.length("__t").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = sized.where(F.col("upto") <= TRAINED_CHARS).select("__id")
-    rows = held.join(F.broadcast(chosen), "__id", "left_semi").collect()
-    rows.sort(key=lambda r: r["__id"])
-    return fit([r["__t"] for r in rows], [r["__y"] for r in rows])
+    chosen = held.join(F.broadcast(sized.where(F.col("upto") <= TRAINED_CHARS).select("__id")), "__id", "left_semi")
+    found = chosen.coalesce(1).mapInPandas(_fit_task, "feature binary, weight binary, bias double").first()
+    if found is None:
+        return fit([], [])
+    weights = np.zeros((1 << BITS) + 1, dtype=np.float32)
+    weights[np.frombuffer(found["feature"], "<i4")] = np.frombuffer(found["weight"], "<f4")
+    return Model(weights, found["bias"])
+
+
+def _fit_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fits in one task, as the sample is bounded, so that the driver holds no texts."""
+    rows = pd.concat([pd.DataFrame({"__id": [], "__t": [], "__y": []}), *batches]).sort_values(["__id", "__t"], kind="stable")
+    if len(rows):
+        model = fit(rows["__t"].tolist(), rows["__y"].tolist())
+        used = np.flatnonzero(model.weights).astype("<i4")
+        yield pd.DataFrame({"feature": [used.tobytes()], "weight": [model.weights[used].astype("<f4").tobytes()], "bias": [model.bias]})
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:

@@ -108,6 +108,7 @@ class Sketch:
             self.levels.append(_Level(size=self.base))
         for mine, theirs in zip(self.levels, other.levels, strict=False):
             mine.state |= theirs.state
+            mine.coin = bool(self.rng.integers(2))  # of two parents' coins neither pairs with the next compaction
             if theirs.sections > mine.sections:
                 mine.size, mine.sections = theirs.size, theirs.sections
             mine.grow()

@@ -47,7 +47,7 @@ def test_fit_repeats_exactly_and_copes_with_one_kind() -> None:
 
 def test_disguises_are_undone() -> None:
     plain = lambda t: "".join(map(chr, a._points([t])[0]))
-    for t in ("idiot", "IDIOT", "id​iot", "i d i o t", "idiоt", "idiooooot"):
+    for t in ("idiot", "IDIOT", "id​iot", "i d i o t", "idiоt", "idiooooot", "1d10t", "1D1OT"):
         assert plain(t) == "\nidiot\n"
     assert plain("полный идиот") == "\nполный идиот\n"
     codes, starts = a._points(["a​b", "", "c\r\nd", "wwww"])
