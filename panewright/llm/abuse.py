@@ -316,7 +316,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     held = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__t is not null").join(F.broadcast(sample), "__id")
     sized = held.select("__id", F.length("__t").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     chosen = held.join(F.broadcast(sized.where(F.col("upto") <= TRAINED_CHARS).select("__id")), "__id", "left_semi")
-    found = chosen.coalesce(1).mapInPandas(_fit_task, "feature binary, weight binary, bias double").first()
+    found = chosen.repartition(1).mapInPandas(_fit_task, "feature binary, weight binary, bias double").first()
     if found is None:
         return fit([], [])
     weights = np.zeros((1 << BITS) + 1, dtype=np.float32)
