@@ -12,6 +12,7 @@ from panewright import functions as P
 from panewright.plans.expr import Node
 from panewright.plans.rewrite import Rewrites
 from panewright.plans.window import WindowDef, asc, desc, window
+from panewright.operators.spread_windows import spread
 from panewright.sources import code, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,3 +286,21 @@ SQL["flights_running"] = f"""select {SQL_PAYLOAD}, cast(sum(DepDel15) over (w ro
 cast(sum(DepDelayMinutes) over (w rows between unbounded preceding and current row) as bigint) as RunningDepDelayMinutes from {SQL_ON_TIME} window w as ({SQL_FLIGHTS})"""
 SQL["flights_remaining"] = f"""select row_id, cast(sum(DepDelayMinutes) over (w rows between current row and unbounded following) as bigint) as remaining,
 max(DepDelayMinutes) over (w rows between 1 following and unbounded following) as worst_after from {SQL_ON_TIME} window w as ({SQL_FLIGHTS})"""
+
+
+def flights_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Running, remaining and whole sums and a row number per airport, the airports with most flights cut into blocks."""
+    late, minutes = P.sum_("DepDel15", "bigint"), P.sum_("DepDelayMinutes", "bigint")
+    columns = {
+        "running_late": late.over(FLIGHTS.running()), "remaining_minutes": minutes.over(FLIGHTS.rows_preceding(0)), "all_minutes": minutes.over(FLIGHTS),
+        "worst_so_far": P.max_("DepDelayMinutes").over(FLIGHTS.running()), "n": P.row_number().over(FLIGHTS),
+    }
+    flights = on_time(spark, d).select("row_id", "Origin", "FlightDate", "CRSDepTime", "DepDel15", "DepDelayMinutes")
+    return spread(flights, FLIGHTS, columns).select("row_id", *columns)
+
+
+QUERIES["flights_spread"] = flights_spread
+_RUN = "w rows between unbounded preceding and current row"
+SQL["flights_spread"] = f"""select row_id, cast(sum(DepDel15) over ({_RUN}) as bigint) as running_late,
+cast(sum(DepDelayMinutes) over (w rows between current row and unbounded following) as bigint) as remaining_minutes, cast(sum(DepDelayMinutes) over (partition by Origin) as bigint) as all_minutes,
+max(DepDelayMinutes) over ({_RUN}) as worst_so_far, cast(row_number() over w as bigint) as n from {SQL_ON_TIME} window w as ({SQL_FLIGHTS})"""

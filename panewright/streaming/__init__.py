@@ -16,7 +16,7 @@ def running(stream: DataFrame, keys: list[str], order: list[str], value: str) ->
     """The rows of a stream with `n` (row number), `total`, `least` and `most` of `value` (a number, as double) so far, per key.
 
     Within a micro-batch rows go by `order`, nulls first; a later batch goes on where the last one ended, whatever its order values. A null value adds to
-    nothing but `n`. Null keys are a key. Rows come out once, in append mode; a key's state survives restarts with the query's checkpoint. Also runs on a batch.
+    nothing but `n`. Null keys are a key. Rows come out once, in append mode; a key's state survives restarts with the query's checkpoint.
     """
     if clash := {"n", "total", "least", "most"} & set(stream.columns):
         raise ValueError(f"the stream has the columns {sorted(clash)} already")

@@ -42,6 +42,8 @@ def read(value: str | None, day_text: str | None, zone_name: str | None) -> str
         if zone not in _ZONES:
             return None
     elif m := re.search(r"(?<=[0-9 Mm])([+-])(\d\d):?(\d\d)$", v):
+        if int(m[2]) > 18 or int(m[3]) > 59:
+            return None
         zone, v = timezone((1 if m[1] == "+" else -1) * timedelta(hours=int(m[2]), minutes=int(m[3]))), v[: m.start()].rstrip(" ")
     elif (m := re.search(r"(Z| [A-Z]{2,4})$", v)) and m[1].strip() in ABBREVIATIONS:
         zone, v = timezone(timedelta(seconds=ABBREVIATIONS[m[1].strip()])), v[: m.start()]

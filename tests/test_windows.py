@@ -83,7 +83,7 @@ def test_ranks_on_ties(spark) -> None:  # noqa: ANN001
 def _frame(rows: list, frame: Frame, i: int) -> list:
     low = 0 if frame.low is None else max(0, i + frame.low)
     high = len(rows) - 1 if frame.high is None else min(len(rows) - 1, i + frame.high)
-    return rows[low : high + 1]
+    return rows[low : max(high + 1, 0)]
 
 
 bound = st.one_of(st.none(), st.integers(-4, 4))
