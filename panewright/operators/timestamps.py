@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from panewright.sources import checkpointed
 
 DAY_US = 86_400_000_000
+#: Records in a range at least, as long as there are fewer ranges than cores keep busy.
+LEAST_RANGE = 2_000
 
 #: Zone abbreviations of the USA and UTC's names, in seconds from UTC.
 ABBREVIATIONS = {
@@ -287,7 +289,8 @@ def choose(df: DataFrame, source: Column, order: Column, rules: Conventions, row
     `prepare` may add the candidates once the records are in ranges, so that they aren't shuffled. Nulls are a source of their own. Records that tie
     in `order` stay in some order. At most about `rows_per_range` records are held by a task. An empty table gives no rows.
     """
-    ranges = max(1, -(-df.count() // rows_per_range))
+    rows = df.count()
+    ranges = max(1, -(-rows // rows_per_range), min(3 * df.sparkSession.sparkContext.defaultParallelism, rows // LEAST_RANGE))
     keyed = df.withColumns({"__source": source.cast("string"), "__order": order})
     spread = keyed.repartitionByRange(ranges, "__source", "__order").sortWithinPartitions("__source", "__order")
     held = checkpointed(prepare(spread) if prepare else spread)

@@ -14,6 +14,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that is bound by computing, not reading: where its files make fewer partitions than there are cores, rows are
+    spread evenly over these. Tables that fill the cores are read as they are, without a shuffle."""
+    df = table(spark, folder, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def header_csv(spark: SparkSession, path: str, casts: dict[str, str] | None = None) -> DataFrame:
     """A CSV file with a header, every column a string but those named in `casts`; a value that can't be cast is NULL."""
     df = spark.read.option("header", True).csv(path)
