@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panewright.llm import abuse, mixing, tokens
 from panewright.llm.quantiles import merge_summaries, percentiles, rank_error, summaries
 from panewright.llm.topn import top_n_of
-from panewright.sources import code, table
+from panewright.sources import code, spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,17 +84,17 @@ union all select 'Origin', upper(trim(Origin, ' ')), count(*), true from {ON_TIM
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return tokens.encode(spread_table(spark, d, "documents", "doc_id", "text")).select("doc_id", "ids")
 
 
 def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Ids with the characters that each token covers."""
-    return tokens.encode_with_offsets(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+    return tokens.encode_with_offsets(spread_table(spark, d, "documents", "doc_id", "text")).drop("text")
 
 
 def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The texts again, from their ids; null comes back empty."""
-    return tokens.decoded(tokens.encode(table(spark, d, "documents").select("doc_id", "text")), text="text_again").select("doc_id", "text_again")
+    return tokens.decoded(tokens.encode(spread_table(spark, d, "documents", "doc_id", "text")), text="text_again").select("doc_id", "text_again")
 
 
 QUERIES |= {"p7_ids": p7_ids, "p7_offsets": p7_offsets, "p7_round_trip": p7_round_trip}
@@ -103,7 +103,7 @@ SQL["p7_round_trip"] = "select doc_id, coalesce(text, '') as text_again from doc
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Plan]]:
     targets = table(spark, d, "mix_targets")
-    sizes = mixing.sized(table(spark, d, "documents"), targets, tokens.count_tokens)
+    sizes = mixing.sized(spread_table(spark, d, "documents", "doc_id", "source", "text"), targets, tokens.count_tokens)
     planned = mixing.plans(sizes, targets)
     return mixing.mix(sizes, planned), planned
 
@@ -119,9 +119,9 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    model = abuse.train(documents, table(spark, d, "review_labels"))
-    return abuse.scored(documents.select("doc_id", "source", "text"), model)
+    documents = spread_table(spark, d, "documents", "doc_id", "source", "text")
+    model = abuse.train(table(spark, d, "documents"), table(spark, d, "review_labels"))
+    return abuse.scored(documents, model)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
