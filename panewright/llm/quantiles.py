@@ -81,12 +81,20 @@ class Sketch:
         self.levels = [_Level(size=section)]
         self.n = 0
         self.least, self.most = math.inf, -math.inf
-        self.rng = np.random.default_rng(seed)
+        self.seed = seed
+        self._rng: np.random.Generator | None = None
+
+    @property
+    def rng(self) -> np.random.Generator:
+        """Made when the first choice is due: most summaries of small groups never need one."""
+        if self._rng is None:
+            self._rng = np.random.default_rng(self.seed)
+        return self._rng
 
     def update(self, x: np.ndarray) -> None:
         """Adds finite numbers. In blocks, so that a large array doesn't swell the first compactor."""
         for low in range(0, len(x), 8192):
-            part = x[low : low + 8192]
+            part = x[low : low + 8192] if len(x) > 8192 else x
             self.levels[0].add(part)
             self.n += len(part)
             self._settle()
@@ -108,7 +116,8 @@ class Sketch:
             self.levels.append(_Level(size=self.base))
         for mine, theirs in zip(self.levels, other.levels, strict=False):
             mine.state |= theirs.state
-            mine.coin = bool(self.rng.integers(2))  # of two parents' coins neither pairs with the next compaction
+            if mine.state:
+                mine.coin = bool(self.rng.integers(2))  # of two parents' coins neither pairs with the next compaction
             if theirs.sections > mine.sections:
                 mine.size, mine.sections = theirs.size, theirs.sections
             mine.grow()
@@ -178,16 +187,21 @@ def _partials(keys: list[str], section: int):  # noqa: ANN202
         for b in batches:
             if b.empty:
                 continue
-            codes, uniques = pd.factorize(pd.MultiIndex.from_frame(b[keys]) if len(keys) > 1 else b[keys[0]], use_na_sentinel=False)
+            columns = [b[k].to_numpy(dtype=object) for k in keys]
+            codes = np.zeros(len(b), dtype=np.int64)
+            for c in keys:
+                code, distinct = pd.factorize(b[c], use_na_sentinel=False)
+                codes = pd.factorize(codes * (len(distinct) + 1) + code)[0]
             order = np.argsort(codes, kind="stable")
             values = b["v"].to_numpy(dtype=np.float64)[order]
-            cuts = np.flatnonzero(np.diff(codes[order])) + 1
-            for code, part in zip(codes[order][np.concatenate([[0], cuts])], np.split(values, cuts), strict=True):
-                raw = uniques[code] if len(keys) > 1 else (uniques[code],)
-                key = tuple(None if pd.isna(x) else x for x in raw)
-                if key not in held:
-                    held[key] = Sketch(section, _seed(key, len(part), float(part[0])))
-                held[key].update(part)
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(codes[order])) + 1, [len(values)]]).tolist()
+            for low, high in zip(starts, starts[1:], strict=False):
+                at, part = order[low], values[low:high]
+                key = tuple(None if c[at] is None or c[at] != c[at] else c[at] for c in columns)
+                summary = held.get(key)
+                if summary is None:
+                    summary = held[key] = Sketch(section, _seed(key, len(part), float(part[0])))
+                summary.update(part)
             if len(held) > _HELD:
                 yield passed_on()
         if held:
@@ -205,7 +219,7 @@ def _merged(keys: list[str], section: int):  # noqa: ANN202
         for b in batches:
             out = []
             for *raw, data in b[[*keys, "sketch"]].itertuples(index=False, name=None):
-                key = tuple(None if pd.isna(x) else x for x in raw)
+                key = tuple(None if x is None or x != x else x for x in raw)
                 if whole is not None and key == now:
                     whole.merge(Sketch.from_bytes(data))
                     continue
