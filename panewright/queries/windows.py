@@ -252,7 +252,7 @@ def on_time(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flights_sliding(spark: SparkSession, d: str) -> DataFrame:
-    """The reference's first benchmark: a sliding sum, the partition's sum and a row number."""
+    """The first benchmark: a sliding sum, the partition's sum and a row number."""
     late = P.sum_("DepDel15", "bigint")
     return on_time(spark, d).select(
         "row_id", "Origin", "Dest", "UniqueCarrier", "FlightNum", "TailNum", "FlightDate", "CRSDepTime", "DepTime", "DepDelayMinutes",
