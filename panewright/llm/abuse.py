@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 ORDERS = (2, 3, 4, 5)
 BITS = 20
-#: Labelled documents and their characters that the classifier is fitted on at most; those with the smallest hashes of their ids, up to half of them flagged.
-TRAINED_ON, TRAINED_CHARS = 6_000, 8_000_000
+#: Labelled documents and their characters that the classifier is fitted on at most: those with the smallest hashes of their ids, up to a quarter of them flagged.
+TRAINED_ON, TRAINED_CHARS = 10_000, 14_000_000
 #: How much lower cases score that weren't trained on, found by holding a quarter of the verdicts out.
 HELD_OUT = 0.25
 #: Characters worked on at once.
@@ -307,7 +307,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     vote = F.when(F.col(verdict) == "flag", 1).when(F.col(verdict) == "ok", -1)
     votes = labels.groupBy(F.col(doc_id).alias("__id")).agg(F.sum(vote).alias("__v")).where("__v <> 0 and __id is not null")
     order = [F.xxhash64("__id"), F.col("__id")]
-    flagged = votes.where("__v > 0").orderBy(*order).limit(TRAINED_ON // 2).collect()
+    flagged = votes.where("__v > 0").orderBy(*order).limit(TRAINED_ON // 4).collect()
     others = votes.where("__v < 0").orderBy(*order).limit(TRAINED_ON - len(flagged)).collect()
     if not flagged or not others:
         return fit([], [])
