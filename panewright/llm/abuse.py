@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panewright.sources import checkpointed
+
 ORDERS = (2, 3, 4, 5)
 BITS = 20
 #: Labelled documents and their characters that the classifier is fitted on at most: those with the smallest hashes of their ids, up to a quarter of them flagged.
@@ -313,7 +315,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         return fit([], [])
     kind = labels.schema[doc_id].dataType.simpleString()
     sample = documents.sparkSession.createDataFrame([(r[0], r[1] > 0) for r in [*flagged, *others]], f"__id {kind}, __y boolean")
-    held = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__t is not null").join(F.broadcast(sample), "__id")
+    held = checkpointed(documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__t is not null").join(F.broadcast(sample), "__id"))
     sized = held.select("__id", F.length("__t").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     chosen = held.join(F.broadcast(sized.where(F.col("upto") <= TRAINED_CHARS).select("__id")), "__id", "left_semi")
     found = chosen.repartition(1).mapInPandas(_fit_task, "feature binary, weight binary, bias double").first()
