@@ -92,11 +92,15 @@ def parse(df: DataFrame, record_id: str, feed: str, line: str, layouts: dict[str
 
     on = ["feed", "column", "value"]
     if small:
-        hit = values.join(F.broadcast(invalid), on)
+        # One pass: a structural reason takes the place of a record's values.
+        said = F.when(F.col("__reason").isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("feed"), F.col("__reason").alias("column"), F.lit(None).cast("string").alias("value"))))
+        every = judged.select("__id", "__reason", F.explode(F.coalesce(said, F.array_compact(entries))).alias("e")).select("__id", "__reason", "e.*")
+        bad = F.broadcast(invalid.withColumn("__hit", F.lit(True)))
+        failures = every.join(bad, on, "left").where("__reason is not null or __hit").select(F.col("__id").alias(record_id), F.col("column").alias("reason"))
     else:
         salted = invalid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         hit = values.withColumn("salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"])
-    failures = structural.unionByName(hit.select(F.col("__id").alias(record_id), F.col("column").alias("reason")))
+        failures = structural.unionByName(hit.select(F.col("__id").alias(record_id), F.col("column").alias("reason")))
 
     loaded = {}
     for name, x in layouts.items():
