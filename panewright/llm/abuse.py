@@ -3,7 +3,8 @@
 A linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios. Its unit is the line, as one line makes a document a case
 whatever else it holds; the verdicts are on documents and some are wrong. So it is trained in rounds: the ratios come from the documents in which
 an n-gram occurs, then each flagged document's highest line stands for it, against the lines of the others that score highest and some at random. A flagged
-document none of whose lines stands out is taken for a reviewer's error and left out. A document's score is that of its highest line.
+document none of whose lines stands out is taken for a reviewer's error and left out. A document's score is that of its highest line. The threshold
+comes from cross-fitting: models that leave a part of the sample out score that part, and the cut is where fewest verdicts contradict them.
 
 Scoring works on arrays of code points, a batch at once, with a table of weights of fixed size.
 """
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,10 +25,11 @@ from panewright.sources import checkpointed
 
 ORDERS = (2, 3, 4, 5)
 BITS = 20
-#: Labelled documents and their characters that the classifier is fitted on at most: those with the smallest hashes of their ids, up to a quarter of them flagged.
-TRAINED_ON, TRAINED_CHARS = 10_000, 14_000_000
-#: How much lower cases score that weren't trained on, found by holding a quarter of the verdicts out.
-HELD_OUT = 0.25
+#: Labelled documents and their characters that the classifier is fitted on at most: those with the smallest hashes of their ids, up to a quarter of them
+#: flagged, of at most TRAINED_TEXT characters each. A text over that isn't trained on and takes no room from others.
+TRAINED_ON, TRAINED_CHARS, TRAINED_TEXT = 10_000, 14_000_000, 100_000
+#: Parts that the sample is cut into to find the threshold: each is scored by a model that was fitted on the others.
+FOLDS = 3
 #: Characters worked on at once.
 _CHUNK = 1_000_000
 _NEWLINE = 10
@@ -218,8 +220,8 @@ def _logistic(flat: np.ndarray, begins: np.ndarray, y: np.ndarray, importance: n
     return full, float(b)
 
 
-def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 5, steps: int = 150, l2: float = 1e-4, seed: int = 7, flagged_weight: float = 0.05, least: int = 2) -> Model:
-    """Trains on documents and verdicts. Without flagged or without other documents, no text is a case."""
+def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 3, steps: int = 150, l2: float = 1e-4, seed: int = 7, flagged_weight: float = 0.05, least: int = 2) -> Model:
+    """Trains on documents and verdicts; the threshold is the regression's own. Without flagged or without other documents, no text is a case."""
     y = np.array(labels, dtype=bool)
     if not y.any() or y.all():
         return Model(np.zeros((1 << BITS) + 1, dtype=np.float32), -1.0)
@@ -275,7 +277,8 @@ def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 5, st
         if k:
             # Ratios of the lines themselves, now that they are known.
             of = np.repeat(np.arange(len(rows)), np.diff(np.append(begins, len(flat))))
-            pair = np.unique(of.astype(np.int64) << (BITS + 1) | flat)
+            pair = np.sort(of.astype(np.int64) << (BITS + 1) | flat)
+            pair = pair[np.flatnonzero(np.diff(pair, prepend=-1))]
             hit = pair & ((1 << (BITS + 1)) - 1)
             pos = (pair >> (BITS + 1)) < len(positive)
             p = np.bincount(hit[pos], minlength=(1 << BITS) + 1) + 0.5
@@ -284,27 +287,64 @@ def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 5, st
             ratio[p + q < least + 1] = 0
         weights, bias = _logistic(flat, begins, target, importance, ratio, l2, steps if k == rounds - 1 else steps // 2)
         weights[-1] = 0
-    return Model(weights, bias - _threshold(Model(weights, bias).scores(texts), y))
+    return Model(weights, bias)
 
 
-def _threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """Where verdict and score agree best (F1), no further than 1 from where the regression puts it; the middle between the two scores there,
-    less what scores of documents that weren't trained on lie lower."""
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[np.abs(scores[order]) > 1] = 0
-    k = int(f1.argmax())
-    if f1[k] == 0:
+def threshold(scores: np.ndarray, y: np.ndarray) -> float:
+    """Where fewest verdicts contradict the scores of documents that the model wasn't fitted on: half way between the two scores there. 0 without flagged
+    or without other documents."""
+    if not y.any() or y.all():
         return 0.0
-    return float(scores[order][k] + scores[order][min(k + 1, len(y) - 1)]) / 2 - HELD_OUT
+    order = np.argsort(-scores, kind="stable")
+    ranked = scores[order]
+    gain = np.cumsum(np.where(y[order], 1, -1))
+    gain[:-1][ranked[:-1] == ranked[1:]] = -len(y)  # ties can't be parted
+    k = int(gain.argmax())
+    return float((ranked[k] + ranked[min(k + 1, len(y) - 1)]) / 2)
+
+
+def fit_with_threshold(texts: list[str], labels: list[bool], folds: list[int]) -> Model:
+    """`fit` on all, cut where models fitted on the other folds say."""
+    y, fold = np.array(labels, dtype=bool), np.array(folds)
+    held = np.zeros(len(y))
+    for k in set(folds):
+        rest = np.flatnonzero(fold != k)
+        own = np.flatnonzero(fold == k)
+        held[own] = fit([texts[i] for i in rest], y[rest].tolist()).scores([texts[i] for i in own])
+    model = fit(texts, labels)
+    return Model(model.weights, model.bias - threshold(held, y))
+
+
+_MODEL = "feature binary, weight binary, bias double"
+
+
+def _packed(model: Model) -> tuple[bytes, bytes, float]:
+    used = np.flatnonzero(model.weights).astype("<i4")
+    return used.tobytes(), model.weights[used].astype("<f4").tobytes(), model.bias
+
+
+def _unpacked(row: Row) -> Model:
+    weights = np.zeros((1 << BITS) + 1, dtype=np.float32)
+    weights[np.frombuffer(row["feature"], "<i4")] = np.frombuffer(row["weight"], "<f4")
+    return Model(weights, row["bias"])
+
+
+def save(spark: SparkSession, model: Model, path: str) -> None:
+    """Writes the model to a folder that must not exist."""
+    spark.createDataFrame([_packed(model)], _MODEL).coalesce(1).write.parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    return _unpacked(spark.read.schema(_MODEL).parquet(path).first())
 
 
 def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", verdict: str = "verdict") -> Model:
-    """Fits on a bounded sample of the labelled documents (TRAINED_ON, TRAINED_CHARS; chosen by hash).
+    """Fits on a bounded sample of the labelled documents (TRAINED_ON, TRAINED_CHARS, TRAINED_TEXT; chosen by hash).
 
-    Several verdicts on a document are counted against each other, and ties are left out; verdicts other than `flag` and `ok`, and on unknown documents, don't
-    count. Only the bounded sample of ids is broadcast, so the texts aren't shuffled.
+    Several verdicts on a document are counted against each other, and ties are left out; verdicts other than `flag` and `ok`, and on unknown documents or null
+    texts, don't count. Without any verdict of either kind, no text is a case; if there are verdicts, but only on texts over TRAINED_TEXT, this raises. Only the
+    bounded sample of ids is broadcast, so the texts aren't shuffled. One model is fitted on the whole sample and one on all but each fold, in parallel
+    tasks; the scores of the folds left out give the threshold.
     """
     vote = F.when(F.col(verdict) == "flag", 1).when(F.col(verdict) == "ok", -1)
     votes = labels.groupBy(F.col(doc_id).alias("__id")).agg(F.sum(vote).alias("__v")).where("__v <> 0 and __id is not null")
@@ -315,24 +355,36 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         return fit([], [])
     kind = labels.schema[doc_id].dataType.simpleString()
     sample = documents.sparkSession.createDataFrame([(r[0], r[1] > 0) for r in [*flagged, *others]], f"__id {kind}, __y boolean")
-    held = checkpointed(documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__t is not null").join(F.broadcast(sample), "__id"))
-    sized = held.select("__id", F.length("__t").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = held.join(F.broadcast(sized.where(F.col("upto") <= TRAINED_CHARS).select("__id")), "__id", "left_semi")
-    found = chosen.repartition(1).mapInPandas(_fit_task, "feature binary, weight binary, bias double").first()
-    if found is None:
+    short = F.when(F.length("__t") <= TRAINED_TEXT, F.col("__t")).alias("__t")
+    known = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__t")).where("__t is not null").select("__id", short)
+    held = checkpointed(known.join(F.broadcast(sample), "__id"))
+    # Texts that are too long take no part in the running sum.
+    sized = held.where("__t is not null").select("__id", F.length("__t").alias("n"))
+    upto = sized.withColumn("upto", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = held.where("__t is not null").join(F.broadcast(upto.where(F.col("upto") <= TRAINED_CHARS).select("__id").distinct()), "__id", "left_semi")
+    fold = F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    copies = chosen.withColumn("__fold", fold).withColumn("__task", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+    found = copies.repartitionById(FOLDS + 1, F.col("__task")).mapInPandas(_fit_task, f"task int, {_MODEL}, scores binary, flagged binary").collect()
+    if not found:
+        if held.where("__t is null").take(1):
+            raise ValueError(f"all of the sample's labelled texts have over {TRAINED_TEXT} characters; none can be trained on")
         return fit([], [])
-    weights = np.zeros((1 << BITS) + 1, dtype=np.float32)
-    weights[np.frombuffer(found["feature"], "<i4")] = np.frombuffer(found["weight"], "<f4")
-    return Model(weights, found["bias"])
+    model = _unpacked(next(r for r in found if r["task"] == FOLDS))
+    scores, y = (np.concatenate([np.frombuffer(r[c], kind) for r in found]) for c, kind in (("scores", "<f8"), ("flagged", "?")))
+    return Model(model.weights, model.bias - threshold(scores, y))
 
 
 def _fit_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fits in one task, as the sample is bounded, so that the driver holds no texts."""
-    rows = pd.concat([pd.DataFrame({"__id": [], "__t": [], "__y": []}), *batches]).sort_values(["__id", "__t"], kind="stable")
-    if len(rows):
-        model = fit(rows["__t"].tolist(), rows["__y"].tolist())
-        used = np.flatnonzero(model.weights).astype("<i4")
-        yield pd.DataFrame({"feature": [used.tobytes()], "weight": [model.weights[used].astype("<f4").tobytes()], "bias": [model.bias]})
+    """One fit, as the sample is bounded, so that the driver holds no texts: task k leaves fold k out and scores it, the last leaves none out."""
+    rows = pd.concat([pd.DataFrame({"__id": [], "__t": [], "__y": [], "__fold": [], "__task": []}), *batches]).sort_values(["__id", "__t"], kind="stable")
+    if not len(rows):
+        return
+    task = int(rows["__task"].iloc[0])
+    out = rows["__fold"].to_numpy() == task
+    model = fit(rows["__t"][~out].tolist(), rows["__y"][~out].tolist())
+    scores = model.scores(rows["__t"][out].tolist()) if out.any() else np.zeros(0)
+    packed = _packed(model) if task == FOLDS else (b"", b"", model.bias)
+    yield pd.DataFrame([(task, *packed, scores.astype("<f8").tobytes(), rows["__y"][out].to_numpy(bool).tobytes())], columns=["task", "feature", "weight", "bias", "scores", "flagged"])
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:

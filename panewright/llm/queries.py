@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,10 +119,26 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, d))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    documents = spread_table(spark, d, "documents", "doc_id", "source", "text")
+#: Session setting: a folder that the classifier is read from, or trained and written to if it isn't there. Unset, each query trains its own.
+MODEL = "spark.panewright.abuse.model"
+
+
+def _model(spark: SparkSession, d: str) -> abuse.Model:
+    path = spark.conf.get(MODEL, None)
+    if path:
+        try:
+            return abuse.load(spark, path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     model = abuse.train(table(spark, d, "documents"), table(spark, d, "review_labels"))
-    return abuse.scored(documents, model)
+    if path:
+        abuse.save(spark, model, path)
+    return model
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scored(spread_table(spark, d, "documents", "doc_id", "source", "text"), _model(spark, d))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -139,4 +156,10 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return by.withColumn("rate", F.col("n_found") / F.col("n_documents"))
 
 
-QUERIES |= {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source the documents, and those that have a score."""
+    return _scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.count("score").alias("n_scored"))
+
+
+QUERIES |= {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p9_counts": p9_counts}
+SQL["p9_counts"] = "select source, count(*) as n_documents, count(*) as n_scored from documents group by source"

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panewright.llm import abuse as a
 
@@ -29,7 +30,7 @@ def _corpus(n: int, seed: int, wrong: float = 0.0) -> tuple[list[str], list[bool
 
 def test_held_out_accuracy_with_wrong_verdicts() -> None:
     texts, _, said = _corpus(600, 1, 0.03)
-    model = a.fit(texts, said)
+    model = a.fit_with_threshold(texts, said, [i % 3 for i in range(600)])
     test, truth, _ = _corpus(400, 2)
     found = model.scores(test) > 0
     truth = np.array(truth)
@@ -83,3 +84,32 @@ def test_tables(spark) -> None:  # noqa: ANN001
     assert a.scored(docs.limit(0), model).collect() == []
     with pytest.raises(ValueError, match="already"):
         a.scored(docs.withColumnRenamed("source", "Score"), model)
+
+
+def test_threshold_contradicts_fewest_verdicts() -> None:
+    assert a.threshold(np.array([3.0, 2.0, 1.0, 0.0]), np.array([True, True, False, False])) == 1.5
+    assert a.threshold(np.array([1.0, 1.0, 0.0]), np.array([True, False, False])) in (0.0, 0.5)  # a tie isn't parted
+    assert a.threshold(np.zeros(3), np.zeros(3, dtype=bool)) == 0.0
+
+
+def test_long_labelled_texts_take_no_room(spark) -> None:  # noqa: ANN001
+    """A text of 20 million characters that comes first by hash leaves the sample as it is without it."""
+    texts, _, said = _corpus(200, 6)
+    ids = sorted(range(200), key=lambda i: spark.range(1).select(F.xxhash64(F.lit(i).cast("long"))).first()[0])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "flag" if y else "ok") for i, y in enumerate(said) if i != ids[0]], "doc_id long, verdict string")
+    line = "fix the parser\n"
+    long = docs.withColumn("text", F.when(F.col("doc_id") == ids[0], F.repeat(F.lit(line), 20_000_000 // len(line))).otherwise(F.col("text")))
+    more = labels.unionByName(spark.createDataFrame([(ids[0], "flag")], labels.schema))
+    one, two = a.train(docs, labels), a.train(long, more)
+    assert np.array_equal(one.weights, two.weights) and one.bias == two.bias and one.weights.any()
+    with pytest.raises(ValueError, match="over 100000 characters"):
+        a.train(docs.withColumn("text", F.repeat(F.lit("x"), 100_001)), labels)
+
+
+def test_saved_models_are_the_same(spark, tmp_path) -> None:  # noqa: ANN001
+    texts, _, said = _corpus(200, 3)
+    model = a.fit(texts, said)
+    a.save(spark, model, str(tmp_path / "m"))
+    again = a.load(spark, str(tmp_path / "m"))
+    assert np.array_equal(model.weights, again.weights) and model.bias == again.bias
