@@ -222,7 +222,7 @@ def _logistic(flat: np.ndarray, begins: np.ndarray, y: np.ndarray, importance: n
     return full, float(b)
 
 
-def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 3, steps: int = 150, l2: float = 1e-4, seed: int = 7, flagged_weight: float = 0.05, least: int = 2) -> Model:
+def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 2, steps: int = 150, l2: float = 1e-4, seed: int = 7, flagged_weight: float = 0.05, least: int = 2, others: int = 1) -> Model:
     """Trains on documents and verdicts; the threshold is the regression's own. Without flagged or without other documents, no text is a case."""
     y = np.array(labels, dtype=bool)
     if not y.any() or y.all():
@@ -243,7 +243,7 @@ def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 3, st
     rng = np.random.default_rng(seed)
     flagged = np.flatnonzero(y)
     weights, bias, ratio = None, 0.0, None
-    random_lines = rng.permutation(np.flatnonzero(~y[doc_of]))[: 3 * len(texts)]
+    random_lines = rng.permutation(np.flatnonzero(~y[doc_of]))[: others * len(texts)]
     for k in range(rounds):
         if ratio is None:
             p, q = (seen[c] + 1.0 for c in (1, 0))
