@@ -30,8 +30,6 @@ BITS = 20
 TRAINED_ON, TRAINED_CHARS, TRAINED_TEXT = 10_000, 14_000_000, 100_000
 #: Parts that the sample is cut into to find the threshold: each is scored by a model that was fitted on the others.
 FOLDS = 3
-#: What a document found without a flag costs, in missed ones; over 1, as verdicts err and a reader trusts what is listed.
-FALSE_ALARM = 2
 #: Characters worked on at once.
 _CHUNK = 1_000_000
 _NEWLINE = 10
@@ -265,13 +263,11 @@ def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 2, st
             positive = flagged[best[flagged] > -1.0]
             if not len(positive):
                 positive = flagged
-        # Of the others, the highest lines of each document; those that look like cases may be errors too and weigh less.
+        # Of the others, the highest lines of each document: those that only look like cases must be learnt.
         ranked = np.lexsort((-sums, doc_of))
         place = np.arange(len(ranked)) - first[doc_of[ranked]]
         hardest = ranked[(place < hard) & ~y[doc_of[ranked]]]
         lines = np.unique(np.concatenate([hardest, random_lines]))
-        if k:
-            lines = lines[~((sums[lines] + bias > 1.5))] if (sums[lines] + bias > 1.5).mean() < 0.02 else lines
         rows = np.concatenate([top[positive], lines])
         target = np.concatenate([np.ones(len(positive)), np.zeros(len(lines))])
         importance = np.where(target == 1, max(1.0, flagged_weight * len(lines) / max(len(positive), 1)), 1.0)
@@ -293,14 +289,14 @@ def fit(texts: list[str], labels: list[bool], rounds: int = 3, hard: int = 2, st
 
 
 def threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """Where verdicts contradict the scores of documents that the model wasn't fitted on at least cost: half way between the two scores there. 0 without
-    flagged or without other documents."""
+    """Where fewest verdicts contradict the scores of documents that the model wasn't fitted on: half way between the two scores there. 0 without flagged
+    or without other documents."""
     if not y.any() or y.all():
         return 0.0
     order = np.argsort(-scores, kind="stable")
     ranked = scores[order]
-    gain = np.cumsum(np.where(y[order], 1, -FALSE_ALARM))
-    gain[:-1][ranked[:-1] == ranked[1:]] = -FALSE_ALARM * len(y)  # ties can't be parted
+    gain = np.cumsum(np.where(y[order], 1, -1))
+    gain[:-1][ranked[:-1] == ranked[1:]] = -len(y)  # ties can't be parted
     k = int(gain.argmax())
     return float((ranked[k] + ranked[min(k + 1, len(y) - 1)]) / 2)
 
