@@ -119,6 +119,24 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, d))
 
 
+def p8_within(spark: SparkSession, d: str) -> DataFrame:
+    """For each target whether its share is met within the stated tolerance, or used up where it can't be, and no document is used too often."""
+    every = F.col("max_repeats") * F.col("available_tokens") == F.col("reached_tokens")
+    ok = F.when(F.col("status") == "short", every).otherwise(F.col("status").isin("met", "no_documents"))
+    return p8_shares(spark, d).select("source", (ok & (F.col("most_copies") <= F.col("max_repeats"))).alias("within"))
+
+
+def p8_used(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every document of the mixture is one of its source's, used at most as often as allowed, once in the list: a row per source."""
+    mixture, planned = _mixed(spark, d)
+    known = table(spark, d, "documents").select("doc_id", F.col("source").alias("__s"))
+    most = table(spark, d, "mix_targets").select(F.col("source").alias("__t"), "max_repeats")
+    joined = mixture.join(known, "doc_id", "left").join(F.broadcast(most), F.col("source") == F.col("__t"), "left")
+    ok = F.coalesce((F.col("__s") == F.col("source")) & F.col("copies").between(1, F.col("max_repeats")), F.lit(False))
+    by = joined.groupBy("source").agg(F.bool_and(ok).alias("ok"), F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("m"))
+    return by.select("source", (F.col("ok") & (F.col("n") == F.col("m"))).alias("sound"))
+
+
 #: Session setting: a folder that the classifier is read from, or trained and written to if it isn't there. Unset, each query trains its own.
 MODEL = "spark.panewright.abuse.model"
 
@@ -161,5 +179,7 @@ def p9_counts(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.count("score").alias("n_scored"))
 
 
-QUERIES |= {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p9_counts": p9_counts}
+QUERIES |= {"p8_mix": p8_mix, "p8_shares": p8_shares, "p8_within": p8_within, "p8_used": p8_used, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p9_counts": p9_counts}
+SQL["p8_within"] = "select source, true as within from mix_targets"
+SQL["p8_used"] = "select distinct source, true as sound from documents where source in (select source from mix_targets) and length(text) > 0"
 SQL["p9_counts"] = "select source, count(*) as n_documents, count(*) as n_scored from documents group by source"
