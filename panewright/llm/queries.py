@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from panewright.llm import abuse, mixing, tokens
 from panewright.llm.quantiles import merge_summaries, percentiles, rank_error, summaries
-from panewright.llm.topn import top_n_of
-from panewright.sources import code, spread_table, table
+from panewright.llm.topn import cluster, skipped, top_n_of
+from panewright.sources import code, scratch_path, spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,15 +27,30 @@ def number(name: str) -> Column:
     return F.when(v.rlike(r"\A[0-9]+(?:\.0+)?\z"), F.when(F.length(digits) > 18, F.lit(2**63 - 1)).otherwise(digits.try_cast("bigint")))
 
 
+def _departures(spark: SparkSession, d: str) -> list[tuple]:
+    """What is asked about the years and the quarter: name, rows, groups, score, N."""
+    return [
+        ("allyears", table(spark, d, ALL_YEARS), [code("Dest")], number("Deptime"), 10),
+        ("on_time", table(spark, d, ON_TIME), [code("Dest"), F.col("FlightDate")], F.col("DepDelayMinutes"), 3),
+    ]
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The 10 latest departures per destination over the years, the 3 most delayed per destination and day of the quarter."""
-    years = top_n_of(table(spark, d, ALL_YEARS), [code("Dest")], number("Deptime"), F.col("row_id"), 10)
-    quarter = top_n_of(table(spark, d, ON_TIME), [code("Dest"), F.col("FlightDate")], F.col("DepDelayMinutes"), F.col("row_id"), 3)
-    parts = [x.select(F.lit(name).alias("table_name"), F.col("i").alias("row_id")) for name, x in (("allyears", years), ("on_time", quarter))]
+    parts = [top_n_of(df, groups, score, F.col("row_id"), n).select(F.lit(name).alias("table_name"), F.col("i").alias("row_id")) for name, df, groups, score, n in _departures(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_skipped(spark: SparkSession, d: str) -> DataFrame:
+    """How many row groups of the two layouts exist, aren't planned, are skipped and read for p4_found."""
+    parts = []
+    for name, df, groups, score, n in _departures(spark, d):
+        path = cluster(df, groups, score, F.col("row_id"), scratch_path(spark, "topn"))
+        parts.append(skipped(spark, path, n).select(F.lit(name).alias("table_name"), "*"))
     return parts[0].unionByName(parts[1])
 
 
-QUERIES["p4_found"] = p4_found
+QUERIES |= {"p4_found": p4_found, "p4_skipped": p4_skipped}
 SQL["p4_found"] = f"""select 'allyears' as table_name, row_id from (select *, row_number() over (partition by dest order by n desc, row_id) as r
  from (select row_id, upper(trim(Dest, ' ')) as dest, case when regexp_full_match(trim(Deptime, ' '), '[0-9]+([.]0+)?') then cast(split_part(trim(Deptime, ' '), '.', 1) as bigint) end as n from {ALL_YEARS}) where n is not null) where r <= 10
 union all select 'on_time', row_id from (select row_id, row_number() over (partition by upper(trim(Dest, ' ')), FlightDate order by DepDelayMinutes desc, row_id) as r from {ON_TIME} where DepDelayMinutes is not null) where r <= 3"""
