@@ -1,7 +1,8 @@
 """Setting apart delimited records that fail to parse, with each reason, while the others are loaded.
 
-The structure of a record is judged by one linear-time pattern. Of the checked fields, each distinct value is judged once: the distinct values of
-every checked column give a dictionary of the invalid ones with their reason, which is joined back to the records.
+Records without quotes are split at their commas; only those with quotes meet the linear-time pattern of sound ones. Of the checked fields, each distinct value is
+cast and judged once: an aggregation gives the distinct values of every checked column and how often they occur, the rules are applied to its rows, and
+what is invalid makes a dictionary with the reason, which is joined back to the records beside the structural checks.
 """
 
 from __future__ import annotations
@@ -56,10 +57,11 @@ def yes_or_no(v: Column) -> Column:
 @dataclass(frozen=True)
 class Parsed:
     """`failures`: the id, and each reason; a record has one structural reason, or one per invalid field. `loaded`: by feed, its sound records,
-    the id and all fields as unquoted strings."""
+    the id and all fields as unquoted strings. `dictionary`: of each invalid value its feed, column, reason and how often it occurs (`n`)."""
 
     failures: DataFrame
     loaded: dict[str, DataFrame]
+    dictionary: DataFrame
 
 
 def parse(df: DataFrame, record_id: str, feed: str, line: str, layouts: dict[str, Layout]) -> Parsed:
@@ -73,7 +75,8 @@ def parse(df: DataFrame, record_id: str, feed: str, line: str, layouts: dict[str
     text = F.coalesce(F.col("__line"), F.lit(""))
     raw = df.select(F.col(record_id).alias("__id"), F.col(feed).alias("__feed"), F.col(line).alias("__line"))
     known = F.coalesce(F.col("__feed").isin(*layouts), F.lit(False))
-    held = raw.withColumn("__fields", F.when(known & text.rlike(_SOUND), F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(f",({_FIELD})"), F.lit(1))))
+    quoted = F.when(text.rlike(_SOUND), F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(f",({_FIELD})"), F.lit(1)))
+    held = raw.withColumn("__fields", F.when(known, F.when(text.contains('"'), quoted).otherwise(F.split(text, ","))))
     width = F.coalesce(*(F.when(F.col("__feed") == name, len(x.fields)) for name, x in layouts.items()), F.lit(0))
     reason = F.when(~known, "feed").when(F.col("__fields").isNull(), "quoting").when(F.size("__fields") != width, "columns")
     judged = held.withColumn("__reason", reason)
@@ -81,35 +84,49 @@ def parse(df: DataFrame, record_id: str, feed: str, line: str, layouts: dict[str
     sound = judged.where("__reason is null")
 
     checked = [(name, c, x.fields.index(c), rule) for name, x in layouts.items() for c, rule in x.valid.items()]
-    if not checked:
-        return Parsed(structural, {name: _fields(sound, record_id, name, x) for name, x in layouts.items()})
     entries = F.array(*(F.when(F.col("__feed") == name, F.struct(F.lit(name).alias("feed"), F.lit(c).alias("column"), _value(F.col("__fields")[i]).alias("value"))) for name, c, i, _ in checked))
+    if not checked:
+        none = df.sparkSession.createDataFrame([], "feed string, column string, value string, reason string, n bigint")
+        return Parsed(structural, {name: _fields(sound, record_id, name, x) for name, x in layouts.items()}, none)
     values = sound.select("__id", F.explode(F.array_compact(entries)).alias("e")).select("__id", "e.*")
-    rule = F.coalesce(*(F.when((F.col("feed") == name) & (F.col("column") == c), ok(F.col("value"))) for name, c, _, ok in checked))
-    invalid = checkpointed(values.select("feed", "column", "value").distinct().where(~rule))
+    invalid = checkpointed(_dictionary(values, checked))
     n, chars = invalid.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("value")), F.lit(0))).first()
     small = n <= BROADCAST_VALUES and chars <= BROADCAST_CHARS
 
     on = ["feed", "column", "value"]
+    said = invalid.select(*on, F.col("reason").alias("__said"))
+    salt = F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")
+    salted = said.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     if small:
         # One pass: a structural reason takes the place of a record's values.
-        said = F.when(F.col("__reason").isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("feed"), F.col("__reason").alias("column"), F.lit(None).cast("string").alias("value"))))
-        every = judged.select("__id", "__reason", F.explode(F.coalesce(said, F.array_compact(entries))).alias("e")).select("__id", "__reason", "e.*")
-        bad = F.broadcast(invalid.withColumn("__hit", F.lit(True)))
-        failures = every.join(bad, on, "left").where("__reason is not null or __hit").select(F.col("__id").alias(record_id), F.col("column").alias("reason"))
+        whole = F.when(F.col("__reason").isNotNull(), F.array(F.struct(*(F.lit(None).cast("string").alias(c) for c in on))))
+        every = judged.select("__id", "__reason", F.explode(F.coalesce(whole, F.array_compact(entries))).alias("e")).select("__id", "__reason", "e.*")
+        found = every.join(F.broadcast(said), on, "left").select("__id", F.coalesce("__reason", "__said").alias("reason"))
+        failures = found.where("reason is not null").select(F.col("__id").alias(record_id), "reason")
     else:
-        salted = invalid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hit = values.withColumn("salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"])
-        failures = structural.unionByName(hit.select(F.col("__id").alias(record_id), F.col("column").alias("reason")))
+        hit = values.withColumn("salt", salt).join(salted, [*on, "salt"])
+        failures = structural.unionByName(hit.select(F.col("__id").alias(record_id), F.col("__said").alias("reason")))
 
     loaded = {}
     for name, x in layouts.items():
         rows = sound.where(F.col("__feed") == name)
         for c in x.valid:
-            bad = invalid.where((F.col("feed") == name) & (F.col("column") == c)).select(F.col("value").alias("__bad"))
-            rows = rows.join(F.broadcast(bad) if small else bad, _value(F.col("__fields")[x.fields.index(c)]) == F.col("__bad"), "left_anti")
+            own = (F.col("feed") == name) & (F.col("column") == c)
+            value = _value(F.col("__fields")[x.fields.index(c)])
+            if small:
+                rows = rows.join(F.broadcast(said.where(own).select(F.col("value").alias("__bad"))), value == F.col("__bad"), "left_anti")
+            else:
+                rows = rows.join(salted.where(own).select(F.col("value").alias("__bad"), F.col("salt").alias("__salt")), (value == F.col("__bad")) & (salt == F.col("__salt")), "left_anti")
         loaded[name] = _fields(rows, record_id, name, x)
-    return Parsed(failures, loaded)
+    return Parsed(failures, loaded, invalid)
+
+
+def _dictionary(values: DataFrame, checked: list[tuple]) -> DataFrame:
+    """The invalid ones of the distinct `feed`, `column` and `value`, with `reason` and `n`. The condition also asks for the count, always true, as Spark would
+    otherwise judge every record's values before it makes them distinct."""
+    distinct = values.groupBy("feed", "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    reason = F.coalesce(*(F.when((F.col("feed") == name) & (F.col("column") == c) & ~ok(F.col("value")), F.lit(c)) for name, c, _, ok in checked))
+    return distinct.withColumn("reason", F.when(F.col("n") > 0, reason)).where("reason is not null").select("feed", "column", "value", "reason", "n")
 
 
 def _unquoted(f: Column) -> Column:

@@ -73,4 +73,22 @@ def test_long_fields_need_no_stack(spark) -> None:  # noqa: ANN001
 
 def test_values_are_judged_once_each(spark) -> None:  # noqa: ANN001
     df = spark.range(50).select(F.col("id").alias("id"), F.lit("g").alias("feed"), F.lit("x,maybe").alias("line"))
-    assert m.parse(df, "id", "feed", "line", LAYOUTS).failures.count() == 50
+    parsed = m.parse(df, "id", "feed", "line", LAYOUTS)
+    assert parsed.failures.count() == 50
+    assert [tuple(r) for r in parsed.dictionary.collect()] == [("g", "b", "maybe", "b", 50)]
+
+
+def test_rules_stand_above_the_aggregate(spark) -> None:  # noqa: ANN001
+    """The rule's upper() and the cast appear in the plan only above the aggregation, not below it."""
+    df = spark.createDataFrame([("g", "b", "x"), ("f", "b", "1")], "feed string, column string, value string").repartition(2)
+    found = m._dictionary(df, [("f", "b", 1, m.hhmm_or_null), ("g", "b", 1, m.yes_or_no)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Aggregate", 1)
+    assert "upper(" in above and "RLIKE" in above and "upper(" not in below and "RLIKE" not in below
+
+
+def test_split_and_pattern_agree(spark) -> None:  # noqa: ANN001
+    lines = ["a,b,c", ",,", "a\nb,,", "é,ü,,x", "", "a", "a\r,\t,c"]
+    df = spark.createDataFrame([(i, "f", x) for i, x in enumerate(lines)], "id int, feed string, line string")
+    pattern = F.regexp_extract_all(F.concat(F.lit(","), F.col("line")), F.lit(f",({m._FIELD})"), F.lit(1))
+    assert all(a == b for a, b in df.select(F.split("line", ","), pattern).collect())
