@@ -13,13 +13,13 @@ from dataclasses import dataclass
 from datetime import date
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entities in a block: a block of 90 days and four aggregates then takes some 3 MB.
-BLOCK = 1024
+#: Entities times days in a block at most (one entity at least): its grids and results then take some 30 MB, whatever the span.
+BLOCK_CELLS = 200_000
 
 
 @dataclass(frozen=True)
@@ -33,9 +33,11 @@ class Monoid:
 MONOIDS = {
     "sum": Monoid(np.add, 0),
     "count": Monoid(np.add, 0),
-    "min": Monoid(np.fmin, np.inf),
-    "max": Monoid(np.fmax, -np.inf),
+    "min": Monoid(np.minimum, np.inf),
+    "max": Monoid(np.maximum, -np.inf),
 }
+#: Neutral elements of MIN and MAX among 64-bit integers.
+_INT64 = np.iinfo(np.int64)
 
 
 class TwoStackQueue:
@@ -89,64 +91,69 @@ def rolling(df: DataFrame, entity: Column, day: Column, value: Column, start: da
     `least_pd` and `most_pd` of `value`.
 
     Columns: `name`, `day`, and those. A period is p calendar days ending that day; days before `start` count where there are rows.
-    Rows without entity or day are left out, and rows after `end` only make their entity appear. A null value adds to nothing. All rows count,
-    repeated ones too. Without values in a period its total and n are 0, the others null. An empty table gives no rows. Integral values
-    give bigint totals, others double.
+    Rows without entity or day are left out, and rows after `end` only make their entity appear. A null or NaN value adds to nothing; infinite ones count as they
+    are. All rows count, repeated ones too. Without values in a period its total and n are 0, the others null. An empty table gives no rows.
+    Integral values give exact bigint totals and extremes, and an error where a total doesn't fit; others give double.
     """
     if end < start or not periods or min(periods) < 1:
         raise ValueError("the days or periods are empty")
     kind = df.select(value.alias("v")).schema["v"].dataType
     whole = isinstance(kind, T.IntegralType | T.BooleanType)
-    held = df.select(entity.alias("e"), F.unix_date(day.cast("date")).alias("d"), value.cast("bigint" if whole else "double").alias("v")).where("e is not null and d is not null")
-    states = held.groupBy("e", "d").agg(F.sum("v").alias("total"), F.count("v").alias("n"), F.min("v").cast("double").alias("least"), F.max("v").cast("double").alias("most"))
-    longest, first, last = max(periods), (start - date(1970, 1, 1)).days, (end - date(1970, 1, 1)).days
     number = "bigint" if whole else "double"
-    columns = [f"{c}_{p}d {k}" for p in periods for c, k in (("total", number), ("n", "bigint"), ("mean", "double"), ("least", "double"), ("most", "double"))]
+    v = value.cast(number)
+    known = v if whole else F.when(~F.isnan(v), v)
+    held = df.select(entity.alias("e"), F.unix_date(day.cast("date")).alias("d"), known.alias("v")).where("e is not null and d is not null")
+    states = held.groupBy("e", "d").agg(F.coalesce(F.sum("v"), F.lit(0).cast(number)).alias("total"), F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    # Without nulls whole numbers stay exact on their way; n says where there is none.
+    states = states.withColumns({c: F.coalesce(c, F.lit(0).cast(number)) for c in ("least", "most")})
+    longest, first, last = max(periods), (start - date(1970, 1, 1)).days, (end - date(1970, 1, 1)).days
+    columns = [f"{c}_{p}d {k}" for p in periods for c, k in (("total", number), ("n", "bigint"), ("mean", "double"), ("least", number), ("most", number))]
+    names = [name, "day", *(c.split()[0] for c in columns)]
     dtype = np.int64 if whole else np.float64
+    least, most = (Monoid(np.minimum, _INT64.max), Monoid(np.maximum, _INT64.min)) if whole else (MONOIDS["min"], MONOIDS["max"])
+    span, n_days = last - first + longest, last - first + 1
+    block_size = max(1, BLOCK_CELLS // span)
 
-    def block(entities: list, index: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
-        lead = longest - 1
-        span = last - first + 1 + lead
-        at = rows["d"].to_numpy() - (first - lead)
+    def block(entities: pa.Array, index: np.ndarray, rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        at = rows["d"] - (first - longest + 1)
         inside = (at >= 0) & (at < span)
-        at, who = at[inside], index[inside]
+        at, who, some = at[inside], index[inside], rows["n"][inside] > 0
         grids: dict[str, np.ndarray] = {}
-        for c, kind in (("total", dtype), ("n", np.int64), ("least", np.float64), ("most", np.float64)):
-            monoid = MONOIDS[{"total": "sum", "n": "sum", "least": "min", "most": "max"}[c]]
-            grid = np.full((span, len(entities)), monoid.neutral, dtype=kind)
-            v = rows[c].to_numpy()[inside]
-            grid[at, who] = np.where(pd.isna(v), monoid.neutral, v).astype(kind)
-            grids[c] = grid
-        n_days = last - first + 1
-        out = {name: np.repeat(np.array(entities, dtype=object), n_days), "day": np.tile(np.arange(first, last + 1), len(entities))}
+        for c, monoid, of in (("total", MONOIDS["sum"], dtype), ("n", MONOIDS["count"], np.int64), ("least", least, dtype), ("most", most, dtype)):
+            grids[c] = np.full((span, len(entities)), monoid.neutral, dtype=of)
+            grids[c][at, who] = np.where(some, rows[c][inside], monoid.neutral)
+        if whole and len(at) and np.abs(grids["total"].astype(float)).max() * longest >= 2.0**62:
+            sums = trailing(grids["total"].astype(object), MONOIDS["sum"], longest)
+            if sums.max() > _INT64.max or sums.min() < _INT64.min:
+                raise OverflowError("a trailing total doesn't fit 64 bits")
+        out = [entities.take(pa.array(np.repeat(np.arange(len(entities)), n_days))), pa.array(np.tile(np.arange(first, last + 1, dtype=np.int32), len(entities)), pa.int32()).cast(pa.date32())]
         for p in periods:
-            total, n, least, most = (trailing(grids[c], MONOIDS[m], p)[lead:].T.ravel() for c, m in (("total", "sum"), ("n", "sum"), ("least", "min"), ("most", "max")))
-            some = n > 0
-            out |= {f"total_{p}d": total, f"n_{p}d": n, f"mean_{p}d": np.where(some, total / np.maximum(n, 1), np.nan), f"least_{p}d": np.where(some, least, np.nan), f"most_{p}d": np.where(some, most, np.nan)}
-        frame = pd.DataFrame(out)
-        return frame.assign(day=pd.to_datetime(frame["day"], unit="D").dt.date)
+            total, n, lo, hi = (trailing(grids[c], m, p)[longest - 1 :].T.ravel() for c, m in (("total", MONOIDS["sum"]), ("n", MONOIDS["count"]), ("least", least), ("most", most)))
+            none = n == 0
+            out += [pa.array(total), pa.array(n), pa.array(total / np.maximum(n, 1), mask=none), pa.array(lo, mask=none), pa.array(hi, mask=none)]
+        return pa.RecordBatch.from_arrays(out, names=names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition comes sorted by entity; its last entity may go on in the next batch."""
-        kept: list[pd.DataFrame] = []
+        kept: list[pa.Table] = []
 
-        def cut(rows: pd.DataFrame, whole_input: bool) -> Iterator[pd.DataFrame]:
-            codes, entities = pd.factorize(rows["e"])
+        def cut(t: pa.Table, whole_input: bool) -> Iterator[pa.RecordBatch]:
+            coded = t.column("e").combine_chunks().dictionary_encode()
+            codes, entities = np.asarray(coded.indices), coded.dictionary
+            rows = {c: t.column(c).to_numpy() for c in ("d", "total", "n", "least", "most")}
             ends = len(entities) if whole_input else len(entities) - 1
-            for low in range(0, ends, BLOCK):
-                high = min(low + BLOCK, ends)
-                part = (codes >= low) & (codes < high)
-                yield block(list(entities[low:high]), codes[part] - low, rows[part])
-            kept[:] = [rows[codes >= ends]] if ends < len(entities) else []
-
-        for rows in batches:
-            if len(rows):
-                yield from cut(pd.concat([*kept, rows], ignore_index=True), False)
+            for low in range(0, ends, block_size):
+                high = min(low + block_size, ends)
+                a, b = np.searchsorted(codes, [low, high])
+                yield block(entities.slice(low, high - low), codes[a:b] - low, {c: x[a:b] for c, x in rows.items()})
+            kept[:] = [t.slice(int(np.searchsorted(codes, ends)))] if ends < len(entities) else []
+
+        for b in batches:
+            if b.num_rows:
+                yield from cut(pa.concat_tables([*kept, pa.Table.from_batches([b])]), False)
         if kept:
             yield from cut(kept[0], True)
 
     entity_kind = held.schema["e"].dataType.simpleString()
     spread = states.repartition("e").sortWithinPartitions("e", "d")
-    out = spread.mapInPandas(run, f"`{name}` {entity_kind}, day date, {', '.join(columns)}")
-    nan_null = {c: F.nanvl(F.col(c), F.lit(None).cast("double")) for p in periods for c in (f"mean_{p}d", f"least_{p}d", f"most_{p}d")}
-    return out.withColumns(nan_null)
+    return spread.mapInArrow(run, f"`{name}` {entity_kind}, day date, {', '.join(columns)}")

@@ -124,7 +124,7 @@ SQL["p3_rolling"] = f"""{_SQL_DAYS}
 select g.origin, g.d as day, """ + ", ".join(
     f"""cast(coalesce(sum(s) filter (f.d > g.d - {p}), 0) as bigint) as total_{p}d, cast(coalesce(sum(c) filter (f.d > g.d - {p}), 0) as bigint) as n_{p}d,
 cast(sum(s) filter (f.d > g.d - {p}) as double) / nullif(sum(c) filter (f.d > g.d - {p}), 0) as mean_{p}d,
-cast(min(lo) filter (f.d > g.d - {p}) as double) as least_{p}d, cast(max(hi) filter (f.d > g.d - {p}) as double) as most_{p}d"""
+cast(min(lo) filter (f.d > g.d - {p}) as bigint) as least_{p}d, cast(max(hi) filter (f.d > g.d - {p}) as bigint) as most_{p}d"""
     for p in (7, 30)
 ) + " from grid g left join f on f.origin = g.origin and f.d <= g.d and f.d > g.d - 30 group by all"
 

@@ -28,7 +28,7 @@ def test_queue_combines_what_it_holds(name) -> None:  # noqa: ANN001
 
 
 def test_against_brute_force(spark, monkeypatch) -> None:  # noqa: ANN001
-    monkeypatch.setattr(t, "BLOCK", 3)
+    monkeypatch.setattr(t, "BLOCK_CELLS", 40)
     rng = random.Random(5)
     rows = [(rng.choice([None, "", *"abcdefgh"]), rng.choice([None, *(START + timedelta(days=k) for k in range(-6, 14))]), rng.choice([None, 0, 1, 5, -2])) for _ in range(400)]
     rows += rows[:50]
@@ -57,3 +57,30 @@ def test_empty_null_and_extra_columns(spark) -> None:  # noqa: ANN001
 def test_fractions(spark) -> None:  # noqa: ANN001
     got = _run(spark.createDataFrame([("a", START, 0.5), ("a", START, 0.25)], "e string, d date, v double"), days=0)
     assert got["a", START]["total_2d"] == 0.75
+
+
+def test_nan_is_no_value_and_infinities_are(spark) -> None:  # noqa: ANN001
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", START, nan), ("a", START, 5.0), ("b", START, nan), ("c", START, inf), ("c", START, 1.0)]
+    got = _run(spark.createDataFrame(rows, "e string, d date, v double"), days=0)
+    said = {e: tuple(got[e, START][f"{c}_2d"] for c in ("total", "n", "mean", "least", "most")) for e in "abc"}
+    assert said == {"a": (5.0, 1, 5.0, 5.0, 5.0), "b": (0.0, 0, None, None, None), "c": (inf, 2, inf, 1.0, inf)}
+
+
+def test_wide_integers_are_exact(spark) -> None:  # noqa: ANN001
+    big = 2**62 + 1
+    rows = [("a", START, big), ("a", START + timedelta(days=1), -big - 2), ("a", START + timedelta(days=2), None), ("b", START, 2**63 - 1)]
+    got = _run(spark.createDataFrame(rows, "e string, d date, v long"), days=2)
+    day = got["a", START + timedelta(days=1)]
+    assert (day["total_2d"], day["least_2d"], day["most_2d"]) == (-2, -big - 2, big) and got["b", START]["most_4d"] == 2**63 - 1
+    over = spark.createDataFrame([("a", START, big), ("a", START + timedelta(days=1), big)], "e string, d date, v long")
+    with pytest.raises(Exception, match="64 bits"):
+        _run(over, days=1)
+
+
+def test_twenty_years_in_small_blocks(spark) -> None:  # noqa: ANN001
+    """7,300 days of 300 entities: blocks hold BLOCK_CELLS cells, not all entities."""
+    df = spark.range(3_000).select((F.col("id") % 300).cast("string").alias("e"), F.date_add(F.lit(START), (F.col("id") * 2).cast("int")).alias("d"), F.lit(1).alias("v"))
+    out = t.rolling(df, F.col("e"), F.col("d"), F.col("v"), START, START + timedelta(days=7_299), (7, 365))
+    row = out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entity").alias("e"), F.sum("n_7d").alias("seven")).first()
+    assert (row["n"], row["e"], row["seven"]) == (300 * 7_300, 300, 7 * 3_000)
