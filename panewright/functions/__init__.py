@@ -11,10 +11,6 @@ from panewright.plans.expr import Aggregate, Composite, Leaf, Node, Ranking, Shi
 from panewright.plans.window import Ref, WindowDef
 
 
-def _column(x: Ref | Node) -> Ref:
-    return x.col if isinstance(x, Node) else x
-
-
 _MAKE: dict[str, Callable[..., Column]] = {
     "sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg, "stddev": F.stddev_samp, "first": F.first, "last": F.last,
 }
@@ -34,51 +30,51 @@ def lit(value: object) -> Node:
 
 def sum_(x: Ref | Node, exact_type: str | None = None) -> Aggregate:
     """SUM. `exact_type` states the result's exact type (`bigint`, `decimal(28,2)`), which permits prefix arithmetic."""
-    return Aggregate(WindowDef(), "sum", (_column(x),), _make, exact_type)
+    return Aggregate(WindowDef(), "sum", (x,), _make, exact_type)
 
 
 def count(x: Ref | Node | None = None) -> Aggregate:
     """COUNT of non-null values, or of rows."""
-    return Aggregate(WindowDef(), "count", ((lambda: F.lit(1)) if x is None else _column(x),), _make)
+    return Aggregate(WindowDef(), "count", ((lambda: F.lit(1)) if x is None else x,), _make)
 
 
 def avg(x: Ref | Node, result_type: str | None = None) -> Aggregate:
-    return Aggregate(WindowDef(), "avg", (_column(x),), _make, result_type)
+    return Aggregate(WindowDef(), "avg", (x,), _make, result_type)
 
 
 def min_(x: Ref | Node) -> Aggregate:
-    return Aggregate(WindowDef(), "min", (_column(x),), _make)
+    return Aggregate(WindowDef(), "min", (x,), _make)
 
 
 def max_(x: Ref | Node) -> Aggregate:
-    return Aggregate(WindowDef(), "max", (_column(x),), _make)
+    return Aggregate(WindowDef(), "max", (x,), _make)
 
 
 def first(x: Ref | Node) -> Aggregate:
-    return Aggregate(WindowDef(), "first", (_column(x),), _make)
+    return Aggregate(WindowDef(), "first", (x,), _make)
 
 
 def last(x: Ref | Node) -> Aggregate:
-    return Aggregate(WindowDef(), "last", (_column(x),), _make)
+    return Aggregate(WindowDef(), "last", (x,), _make)
 
 
 def stddev(x: Ref | Node) -> Aggregate:
-    return Aggregate(WindowDef(), "stddev", (_column(x),), _make)
+    return Aggregate(WindowDef(), "stddev", (x,), _make)
 
 
-def count_distinct(x: Ref | Node) -> Node:
-    """COUNT(DISTINCT x) over a frame, which Spark's windows reject, as the size of the collected set."""
-    sets = Aggregate(WindowDef(), "collect_set", (_column(x),), lambda _, args: F.collect_set(*args))
-    return Composite(lambda c: F.size(c).cast("bigint"), (sets,))
+def count_distinct(x: Ref | Node) -> Aggregate:
+    """COUNT(DISTINCT x) over a frame, which Spark's windows reject: a count of first occurrences where the frame is open at an end, else the size of
+    the frame's set."""
+    return Aggregate(WindowDef(), "count_distinct", (x,), _make)
 
 
 def percentile(x: Ref | Node, q: float) -> Aggregate:
-    return Aggregate(WindowDef(), "percentile", (_column(x),), lambda _, args: F.percentile(args[0], q))
+    return Aggregate(WindowDef(), "percentile", (x,), lambda _, args: F.percentile(args[0], q))
 
 
 def agg(function: Callable[..., Column], *args: Ref | Node) -> Aggregate:
     """Any aggregate that Spark admits over a window, grouped-aggregate Pandas UDFs included; never rewritten."""
-    return Aggregate(WindowDef(), "other", tuple(map(_column, args)), lambda _, a: function(*a))
+    return Aggregate(WindowDef(), "other", args, lambda _, a: function(*a))
 
 
 def row_number() -> Ranking:
@@ -106,7 +102,7 @@ def cume_dist() -> Ranking:
 
 
 def shift(x: Ref | Node, offset: int) -> Shift:
-    return Shift(WindowDef(), _column(x), offset)
+    return Shift(WindowDef(), x, offset)
 
 
 def lead(x: Ref | Node, n: int = 1) -> Shift:

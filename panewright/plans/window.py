@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -16,7 +17,8 @@ Ref = "str | Column | Callable[[], Column]"
 
 @dataclass(frozen=True, eq=False)
 class OrderKey:
-    """One sort key. A key given as a bare Column with its own direction (`c.desc()`) is opaque and can't be reversed."""
+    """One sort key. A key given as a bare Column with its own direction (`c.desc()`) is taken apart; where the session doesn't show its parts, it is
+    opaque and can't be reversed."""
 
     column: Ref
     ascending: bool = True
@@ -52,11 +54,30 @@ def desc(x: Ref, nulls_first: bool = False) -> OrderKey:
 def _order_key(x: Ref | OrderKey) -> OrderKey:
     if isinstance(x, OrderKey):
         return x
-    if isinstance(x, Column) and any(f" {way} NULLS " in str(x) for way in ("ASC", "DESC")):
-        return OrderKey(x, opaque=True)
+    if isinstance(x, Column) and (said := re.search(r" (ASC|DESC) NULLS (FIRST|LAST)'>\Z", str(x))):
+        child = _sorted_child(x)
+        return OrderKey(x, opaque=True) if child is None else OrderKey(child, said[1] == "ASC", said[2] == "FIRST")
     return asc(x)
 
 
+def _sorted_child(x: Column) -> Column | None:
+    """The column that a Column with a direction sorts by, if the session's JVM gives it."""
+    try:
+        child = x._jc.node().child()
+        return type(x)(x._jc.getClass().getConstructors()[0].newInstance(_array(child)))
+    except Exception:  # noqa: BLE001  (a session without a JVM, or another layout of the node)
+        return None
+
+
+def _array(item: object) -> object:
+    from pyspark import SparkContext
+
+    gateway = SparkContext._active_spark_context._gateway
+    out = gateway.new_array(gateway.jvm.java.lang.Object, 1)
+    out[0] = item
+    return out
+
+
 class FrameMethods:
     """The frame builder methods. A class that mixes this in says what editing its windows means."""
 

@@ -13,7 +13,7 @@ from panewright.plans.expr import Node
 from panewright.plans.rewrite import Rewrites
 from panewright.plans.window import WindowDef, asc, desc, window
 from panewright.operators.spread_windows import spread
-from panewright.sources import code, table
+from panewright.sources import code, header_csv, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,6 +123,51 @@ orders(
     "distinct_frame", {"n": P.count_distinct("o_orderstatus").over(ORDERED.rows_preceding(4).rows_following(0))},
     {"n": f"count(distinct o_orderstatus) over ({SQL_O} rows between 4 preceding and current row)"},
 )
+STATUS = P.count_distinct("o_orderstatus")
+orders(
+    "distinct_following",
+    {"after": STATUS.over(ORDERED.rows_preceding(-1)), "so_far": P.count_distinct("o_orderpriority").over(ORDERED.running()), "whole": STATUS.over(window().partition_by("o_custkey"))},
+    {"after": f"count(distinct o_orderstatus) over ({SQL_O} rows between 1 following and unbounded following)", "so_far": f"count(distinct o_orderpriority) over ({SQL_O} rows between unbounded preceding and current row)",
+     "whole": "count(distinct o_orderstatus) over (partition by o_custkey)"},
+)
+orders(
+    "distinct_empty", {"n": STATUS.over(ORDERED.rows_preceding(-2).rows_following(1)), "m": P.count().over(ORDERED.rows_preceding(-2).rows_following(1)), "far": STATUS.over(ORDERED.rows_preceding(-900).rows_following(901))},
+    {"n": "cast(0 as bigint)", "m": "cast(0 as bigint)", "far": "cast(0 as bigint)"}, Rewrites(unique_order=True, empty_as_null=True),
+)
+BIG = P.sum_(lambda: (F.col("o_orderkey") % 3 + 1) * F.lit(2**61), "bigint")
+orders(
+    "following_big", {"v": BIG.over(ORDERED.rows_preceding(-1).rows_following(1)), "w": P.coalesce(BIG.over(ORDERED.rows_preceding(-1).rows_following(1)), P.lit(0))},
+    {"v": f"lead((o_orderkey % 3 + 1) * {2**61}) over ({SQL_O})", "w": f"coalesce(lead((o_orderkey % 3 + 1) * {2**61}) over ({SQL_O}), 0)"},
+    Rewrites(shift=False, slide_from=1, unique_order=True),
+)
+orders(
+    "following_desc", {"lo": P.min_("o_totalprice").over(window().partition_by("o_custkey").order_by(desc("o_orderdate"), desc("o_orderkey")).rows_preceding(0))},
+    {"lo": "min(o_totalprice) over (partition by o_custkey order by o_orderdate desc nulls last, o_orderkey desc nulls last rows between current row and unbounded following)"},
+)
+orders(
+    "over_builder", {"n": P.count().over(P.sum_("o_totalprice").over(ORDERED.running())), "m": P.count().over()},
+    {"n": f"count(*) over ({SQL_O} rows between unbounded preceding and current row)", "m": "count(*) over ()"},
+)
+orders(
+    "unbounded_following", {"n": P.count().over(ORDERED.rows_preceding(2).rows_following(1).unbounded_following()), "m": P.count().over(ORDERED.running().unbounded_following())},
+    {"n": f"count(*) over ({SQL_O} rows between 2 preceding and unbounded following)", "m": "count(*) over (partition by o_custkey)"},
+)
+orders(
+    "mixed_kinds", {"n": P.count().over(BY_DAY.rows_preceding(3).values_following(7))},
+    {"n": f"count(*) over ({SQL_P} range between 3 preceding and 7 following)"},
+)
+orders(
+    "no_rewrites", {"after": total().over(ORDERED.rows_preceding(0)).cast("double"), "wide": total().over(ORDERED.rows_preceding(60).rows_following(-5)).cast("double"), "next": P.max_("o_totalprice").over(ORDERED.shifted(1))},
+    {"after": f"cast(sum(cast(o_totalprice as decimal(18,2))) over ({SQL_O} rows between current row and unbounded following) as double)",
+     "wide": f"cast(sum(cast(o_totalprice as decimal(18,2))) over ({SQL_O} rows between 60 preceding and 5 preceding) as double)", "next": f"lead(o_totalprice) over ({SQL_O})"},
+    Rewrites.none(),
+)
+NTH = P.row_number().over(ORDERED)
+orders(
+    "operators", {"later": ~(NTH == 1), "back": -NTH, "known": P.lag("o_orderkey").over(ORDERED).is_not_null(), "some": NTH.isin(1, 3), "middle": NTH.between(2, P.count().over(window().partition_by("o_custkey")) - 1)},
+    {"later": f"row_number() over ({SQL_O}) <> 1", "back": f"cast(-(row_number() over ({SQL_O})) as bigint)", "known": f"lag(o_orderkey) over ({SQL_O}) is not null",
+     "some": f"row_number() over ({SQL_O}) in (1, 3)", "middle": f"row_number() over ({SQL_O}) between 2 and count(*) over (partition by o_custkey) - 1"},
+)
 orders(
     "dist_ranks", {"pr": P.percent_rank().over(ORDERED), "cd": P.cume_dist().over(ORDERED), "quarter": P.ntile(4).over(ORDERED)},
     {"pr": f"percent_rank() over ({SQL_O})", "cd": f"cume_dist() over ({SQL_O})", "quarter": f"cast(ntile(4) over ({SQL_O}) as bigint)"},
@@ -159,9 +204,8 @@ orders(
 
 
 def layered(spark: SparkSession, d: str) -> DataFrame:
-    """A shift of a windowed sum: Spark stages the two windows."""
-    inner = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", total().over(ORDERED.running()).cast("double").col(UNIQUE).alias("s"))
-    return inner.select("o_orderkey", P.lag("s").over(ORDERED).col(UNIQUE).alias("before"))
+    """A shift of a windowed sum: Spark stages the two windows. The keys are stated once and reach the inner window too."""
+    return table(spark, d, "orders").select("o_orderkey", P.lag(total().running().cast("double")).over(ORDERED).col(UNIQUE).alias("before"))
 
 
 QUERIES["layered"] = layered
@@ -178,6 +222,30 @@ QUERIES["filter_part"] = filter_part
 SQL["filter_part"] = f"select * from (select o_custkey, o_orderkey, cast(row_number() over ({SQL_O}) as bigint) as r from orders) where o_custkey < 100 and r <= 2"
 
 
+def following_directed(spark: SparkSession, d: str) -> DataFrame:
+    """Columns with their own direction are reversed like others: no frame that Spark runs in quadratic time is left."""
+    w = window().partition_by("o_custkey").order_by(F.desc("o_orderdate"), F.col("o_orderkey").desc_nulls_first()).rows_preceding(-1)
+    return table(spark, d, "orders").select("o_orderkey", P.max_("o_totalprice").over(w).col(UNIQUE).alias("most"), P.last("o_orderkey").over(w).col(UNIQUE).alias("end"))
+
+
+QUERIES["following_directed"] = following_directed
+_DIRECTED = "partition by o_custkey order by o_orderdate desc nulls last, o_orderkey desc nulls first rows between 1 following and unbounded following"
+SQL["following_directed"] = f"select o_orderkey, max(o_totalprice) over ({_DIRECTED}) as most, last_value(o_orderkey) over ({_DIRECTED}) as end from orders"
+
+
+def csv_window(spark: SparkSession, d: str) -> DataFrame:
+    """Windows over a header CSV, read as strings and cast; the file is written from a table first."""
+    path = scratch_path(spark, "csv")
+    table(spark, d, "nation").coalesce(1).write.option("header", True).csv(path)
+    w = window().partition_by("n_regionkey").order_by("n_nationkey")
+    rows = header_csv(spark, path, {"n_nationkey": "int", "n_regionkey": "int"})
+    return rows.select("n_name", "n_nationkey", P.count().over(w.running()).col(UNIQUE).alias("n"), P.lag("n_name").over(w).col().alias("before"))
+
+
+QUERIES["csv_window"] = csv_window
+SQL["csv_window"] = "select n_name, cast(n_nationkey as int) as n_nationkey, count(*) over (w rows between unbounded preceding and current row) as n, lag(n_name) over w as before from nation window w as (partition by n_regionkey order by n_nationkey nulls first)"
+
+
 def agg_then_window(spark: SparkSession, d: str) -> DataFrame:
     by = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.sum(money()).cast("double").alias("s"))
     return by.select("*", P.rank().over(window().partition_by("o_orderpriority").order_by(desc("s"), "o_orderstatus")).col().alias("r"))

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
 
 from panewright import Frame, Rewrites, agg, asc, avg, count, count_distinct, dense_rank, desc, first, lag, last, lead, max_, min_, rank, row_number, shift, stddev, sum_, window
+from panewright.plans.window import OrderKey
 from pyspark.sql import functions as F
 
 PLAIN = Rewrites.none()
@@ -145,11 +146,9 @@ def test_errors(groups) -> None:  # noqa: ANN001
     assert groups.select(empty.alias("v")).distinct().collect() == [(None,)]
     with pytest.raises(AnalysisException, match="UNSUPPORTED_EXPR_FOR_WINDOW"):
         groups.select(agg(lambda c: c + 1, "v").over(w).col()).collect()
-    with pytest.raises(ValueError, match="opaque"):
-        window().order_by(F.col("i").desc()).reversed()
 
 
-def test_opaque_keys_and_composites(groups) -> None:  # noqa: ANN001
+def test_directed_keys_and_composites(groups) -> None:  # noqa: ANN001
     w = window().partition_by("p").order_by(F.col("i").desc())
     assert values(groups.where("p = 1"), sum_("v").over(w.running())) == [160, 150, 120, 70]
     assert values(groups.where("p = 1"), stddev("v").over(w).is_null()) == [False] * 4
@@ -161,3 +160,71 @@ def test_one_shuffle_for_many_frames(groups) -> None:  # noqa: ANN001
     df = groups.select(*(e.col().alias(f"c{k}") for k, e in enumerate((sum_("v").over(w), sum_("v").over(w.running()), lead("v").over(w), row_number().over(w)))))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1
+
+
+def test_directed_columns_are_taken_apart(spark, groups) -> None:  # noqa: ANN001
+    for given, want in ((F.desc("i"), (False, False)), (F.col("i").asc_nulls_last(), (True, False)), (F.desc_nulls_first(F.col("i") + 1), (False, True)), (F.asc("i"), (True, True))):
+        key = window().order_by(given).order[0]
+        assert (key.ascending, key.nulls_first, key.opaque) == (*want, False)
+    e = min_("v").over(window().partition_by("p").order_by(F.desc("i")).rows_preceding(0))
+    plan = groups.select(e.col(UNIQUE).alias("x"))._jdf.queryExecution().executedPlan().toString().lower()
+    assert "currentrow$(), unboundedfollowing" not in plan
+    assert values(groups, e, UNIQUE) == values(groups, e, PLAIN) == [0, 10, 0, 10, 0, 10, 0, 10]
+    assert window().order_by(OrderKey(F.col("i").desc(), opaque=True)).reversible is False
+
+
+def test_edits_reach_arguments(groups) -> None:  # noqa: ANN001
+    w = window().partition_by("p").order_by("i")
+    layered = max_(sum_("v", "bigint").running() * -1).over(w)
+    assert values(groups, layered) == [0, -10] * 4
+    assert values(groups, lag(sum_("v", "bigint").over(w.running())).over(w)) == [None, None, 0, 10, 20, 40, 60, 90]
+    inner = sum_("v", "bigint").over(w.rows_preceding(0))
+    plan = groups.select(max_(inner).over(w).col(PLAIN).alias("x"))._jdf.queryExecution().executedPlan().toString().lower()
+    assert "currentrow$(), unboundedfollowing" in plan  # the caller's rewrites hold inside too
+
+
+def test_operators(groups) -> None:  # noqa: ANN001
+    n = row_number().over(window().partition_by("p").order_by("i"))
+    assert values(groups, ~(n == 1)) == [False, False, *[True] * 6]
+    assert values(groups, -n) == [-1, -1, -2, -2, -3, -3, -4, -4]
+    assert values(groups, n.isin(1, 4)) == [True, True, *[False] * 4, True, True]
+    assert values(groups, n.between(2, n)) == [False, False, *[True] * 6]
+    assert values(groups, lag("v").over(window().order_by("i")).is_not_null()) == [False, *[True] * 7]
+
+
+def test_distinct_counts_over_open_frames(spark) -> None:  # noqa: ANN001
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, 1]), rng.choice([None, *range(4)]), rng.randrange(12)) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, p int, v int, o int").repartition(3)
+    unique, tied = window().partition_by("p").order_by(desc("o"), "i"), window().partition_by("p").order_by("o")
+    for w in (unique, unique.running(), unique.rows_following(-2), unique.rows_preceding(0), unique.rows_preceding(-3), unique.rows_preceding(2).rows_following(1), tied.values_following(1), tied.values_preceding(2), window().partition_by("p")):
+        assert values(df, count_distinct("v").over(w), UNIQUE) == values(df, count_distinct("v").over(w), PLAIN)
+    assert values(df.where("i < 1"), count_distinct("v").over(unique.rows_preceding(-3)), PLAIN) == [0]
+    assert values(df.where("i < 2"), count_distinct("v").over(unique.rows_preceding(-2).rows_following(1)), Rewrites(empty_as_null=True)) == [0, 0]
+    plan = df.select(count_distinct("v").over(unique.rows_preceding(0)).col(UNIQUE).alias("x"))._jdf.queryExecution().executedPlan().toString().lower()
+    assert "collect_set" not in plan and "currentrow$(), unboundedfollowing" not in plan and plan.count("exchange hashpartitioning") == 2
+
+
+def test_differences_do_not_overflow(spark) -> None:  # noqa: ANN001
+    big = 2**62
+    df = spark.createDataFrame([(0, big), (1, big), (2, 5), (3, None), (4, -7)], "i int, v long")
+    w = window().order_by("i")
+    for frame in (w.rows_preceding(-2), w.rows_preceding(-1).rows_following(2), w.rows_preceding(-4), w.values_preceding(-1).values_following(2)):
+        e = sum_("v", "bigint").over(frame)
+        assert values(df, e, UNIQUE) == values(df, e, PLAIN)
+    wide = df.select("i", F.col("v").cast("decimal(38,0)").alias("v"))
+    plan = wide.select(sum_("v", "decimal(38,0)").over(w.rows_preceding(0)).col().alias("x"))._jdf.queryExecution().executedPlan().toString().lower()
+    assert "currentrow$(), unboundedfollowing" in plan  # such a sum has no room, so its prefixes might not fit
+
+
+@pytest.mark.parametrize("key", [asc("o"), desc("o"), asc("o", nulls_first=False), desc("o", nulls_first=True)])
+@pytest.mark.parametrize(("low", "high"), [(-2, 2), (-3, -1), (1, 4), (0, 2), (-1, 0)])
+def test_sliding_ranges_by_differences(spark, key, low, high) -> None:  # noqa: ANN001
+    rng = random.Random(low * 10 + high)
+    rows = [(i, rng.choice([None, 1]), rng.choice([None, *range(-9, 9)]), rng.choice([None, *range(20)])) for i in range(70)]
+    df = spark.createDataFrame(rows, "i int, p int, v int, o int")
+    w = window().partition_by("p").order_by(key).values_preceding(-low).values_following(high)
+    for e in (sum_("v", "bigint").over(w), count("v").over(w)):
+        plan = df.select(e.col().alias("x"))._jdf.queryExecution().executedPlan().toString().lower()
+        assert f"rangeframe, {low}, {high}" not in plan
+        assert values(df, e) == values(df, e, PLAIN)
