@@ -261,8 +261,14 @@ def no_partition(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", P.row_number().over(w).col().alias("n"))
 
 
-QUERIES["no_partition"] = no_partition
-SQL["no_partition"] = "select s_suppkey, cast(row_number() over (order by s_acctbal desc nulls last, s_suppkey nulls first) as bigint) as n from supplier"
+def no_partition_spread(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all tasks: the table is sorted by ranges and windowed in blocks."""
+    w = window().order_by(desc("s_acctbal"), "s_suppkey")
+    return spread(table(spark, d, "supplier").select("s_suppkey", "s_acctbal"), w, {"n": P.row_number()}).select("s_suppkey", "n")
+
+
+QUERIES |= {"no_partition": no_partition, "no_partition_spread": no_partition_spread}
+SQL["no_partition"] = SQL["no_partition_spread"] = "select s_suppkey, cast(row_number() over (order by s_acctbal desc nulls last, s_suppkey nulls first) as bigint) as n from supplier"
 
 
 def udaf_window(spark: SparkSession, d: str) -> DataFrame:
@@ -367,7 +373,33 @@ def flights_spread(spark: SparkSession, d: str) -> DataFrame:
     return spread(flights, FLIGHTS, columns).select("row_id", *columns)
 
 
-QUERIES["flights_spread"] = flights_spread
+def flights_sliding_spread(spark: SparkSession, d: str) -> DataFrame:
+    """The first benchmark, with a shift and an extreme, over airports that are cut into blocks."""
+    late = P.sum_("DepDel15", "bigint")
+    columns = {
+        "Past3DepDel15": late.over(FLIGHTS).rows_preceding(3).rows_following(-1), "TotalDepDelay15": late.over(FLIGHTS), "OriginFlightSeqNr": P.row_number().over(FLIGHTS),
+        "next_carrier": P.lead("UniqueCarrier").over(FLIGHTS), "worst_around": P.max_("DepDelayMinutes").over(FLIGHTS.rows_preceding(10).rows_following(10)),
+    }
+    flights = on_time(spark, d).select("row_id", "Origin", "UniqueCarrier", "FlightDate", "CRSDepTime", "DepDel15", "DepDelayMinutes")
+    return spread(flights, FLIGHTS, columns).select("row_id", *columns)
+
+
+def flights_ranked_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of days and a running total over all flights, without partition keys: no task has the whole table."""
+    by_day, by_row = window().order_by("FlightDate"), window().order_by("FlightDate", "row_id")
+    flights = on_time(spark, d).select("row_id", "FlightDate", "DepDel15")
+    ranked = spread(flights, by_day, {"r": P.rank(), "day_number": P.dense_rank()})
+    columns = {"late_so_far": P.sum_("DepDel15", "bigint").over(by_row.running()), "late_of_1000": P.sum_("DepDel15", "bigint").over(by_row.rows_preceding(999).rows_following(0))}
+    return spread(ranked, by_row, columns).select("row_id", "r", "day_number", *columns)
+
+
+QUERIES |= {"flights_spread": flights_spread, "flights_sliding_spread": flights_sliding_spread, "flights_ranked_spread": flights_ranked_spread}
+SQL["flights_sliding_spread"] = f"""select row_id, cast(sum(DepDel15) over (w rows between 3 preceding and 1 preceding) as bigint) as Past3DepDel15,
+cast(sum(DepDel15) over (partition by Origin) as bigint) as TotalDepDelay15, cast(row_number() over w as bigint) as OriginFlightSeqNr, lead(UniqueCarrier) over w as next_carrier,
+max(DepDelayMinutes) over (w rows between 10 preceding and 10 following) as worst_around from {SQL_ON_TIME} window w as ({SQL_FLIGHTS})"""
+SQL["flights_ranked_spread"] = """select row_id, cast(rank() over (order by FlightDate nulls first) as bigint) as r, cast(dense_rank() over (order by FlightDate nulls first) as bigint) as day_number,
+cast(sum(DepDel15) over (w rows between unbounded preceding and current row) as bigint) as late_so_far, cast(sum(DepDel15) over (w rows between 999 preceding and current row) as bigint) as late_of_1000
+from on_time_on_time_performance_2015_3 window w as (order by FlightDate nulls first, row_id nulls first)"""
 _RUN = "w rows between unbounded preceding and current row"
 SQL["flights_spread"] = f"""select row_id, cast(sum(DepDel15) over ({_RUN}) as bigint) as running_late,
 cast(sum(DepDelayMinutes) over (w rows between current row and unbounded following) as bigint) as remaining_minutes, cast(sum(DepDelayMinutes) over (partition by Origin) as bigint) as all_minutes,
