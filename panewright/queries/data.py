@@ -101,7 +101,21 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return named.select("stamp_id", "field", F.when(F.col("status") == "ok", F.col("moment")).otherwise(F.col("status")).alias("moment"))
 
 
-QUERIES |= {"p2_found": p2_found, "p2_moments": p2_moments}
+def p2_ambiguous(spark: SparkSession, d: str) -> DataFrame:
+    """Dates of orders written day first by some sources and month first by others, read without conventions: only the order of each source's records tells."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderpriority")
+    text = F.date_format("day", "dd/MM/yyyy")
+    month_first = F.date_format("day", "MM/dd/yyyy")
+    written = orders.select(
+        (F.unix_date("day").cast("bigint") * 10**12 + F.col("o_orderkey")).alias("at"), F.col("o_orderpriority").alias("source"),
+        F.concat(F.when(F.col("source") < "3", month_first).otherwise(text), F.lit(" 10:00")).alias("said"), F.lit(None).cast("string").alias("no_date"), F.lit("UTC").alias("zone"),
+    )
+    read = normalise(written, "at", F.col("source"), "no_date", ("said",), "zone", Conventions())
+    return read.select((F.col("at") % 10**12).alias("o_orderkey"), F.substring("moment", 1, 10).alias("day"))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_moments": p2_moments, "p2_ambiguous": p2_ambiguous}
+SQL["p2_ambiguous"] = "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders"
 
 
 def p3_rolling(spark: SparkSession, d: str) -> DataFrame:

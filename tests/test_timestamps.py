@@ -58,9 +58,11 @@ def test_best_path_is_cheapest() -> None:
         assert cost([s[k] for s, k in zip(states, path, strict=True)]) == pytest.approx(least)
 
 
+@pytest.mark.parametrize("chunk", [50_000, 3])
 @pytest.mark.parametrize("per_range", [1_000, 7, 2])
-def test_ambiguous_dates_are_settled_by_order_over_any_ranges(spark, per_range) -> None:  # noqa: ANN001
-    """Day-first messages of one source, month-first ones of another: ranges of any size give the cheapest whole path."""
+def test_ambiguous_dates_are_settled_by_order_over_any_ranges(spark, monkeypatch, per_range, chunk) -> None:  # noqa: ANN001
+    """Day-first messages of one source, month-first ones of another: ranges and chunks of any size give the cheapest whole path."""
+    monkeypatch.setattr(ts, "CHUNK", chunk)
     rules = ts.Conventions()
     rows = []
     for i in range(12):
@@ -79,3 +81,26 @@ def test_empty_repeated_and_null_rows(spark) -> None:  # noqa: ANN001
     assert len(out) == 8 and sum(r["moment"] == "2015-01-01T01:00:00.000000Z" for r in out) == 4
     df = spark.createDataFrame([], "id int, src string, day string, a string, b string, z string")
     assert ts.normalise(df, "id", F.col("src"), "day", ("a", "b"), "z", CONVENTIONS).collect() == []
+
+
+@pytest.mark.parametrize(("per_range", "chunk", "batch"), [(10_000, 50_000, 10_000), (9, 4, 3), (40, 7, 5), (3, 50_000, 2)])
+def test_whole_path_costs_the_least(spark, monkeypatch, per_range, chunk, batch) -> None:  # noqa: ANN001
+    """Random interpretations: over any ranges, chunks and batches the path costs as little as one found over the whole sequence."""
+    monkeypatch.setattr(ts, "CHUNK", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rng = random.Random(per_range)
+        rows = []
+        for i in range(160):
+            n = rng.choice([0, 1, 1, 2, 2, 3])
+            rows.append((i, rng.choice([None, "p", "p", "q"]), [(rng.choice("xyz"), "ok", rng.choice([None, *range(0, 9 * ts.DAY_US, ts.DAY_US)])) for _ in range(n)]))
+        df = spark.createDataFrame(rows, "id int, src string, candidates array<struct<format: string, status: string, moment: bigint>>").repartition(3)
+        picks = {r["id"]: r["pick"] for r in ts.choose(df, F.col("src"), F.col("id"), CONVENTIONS, per_range).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for src in (None, "p", "q"):
+        own = [(i, [(f, m) for f, _, m in c]) for i, s, c in rows if s == src and c]
+        assert all(picks[i] is None for i, s, c in rows if not c)
+        states = [c for _, c in own]
+        cost = lambda path: sum(ts._costs([a[i]], [b[j]], CONVENTIONS)[0, 0] for a, b, i, j in zip(states, states[1:], path, path[1:], strict=False))  # noqa: B023, E731
+        assert cost([picks[i] for i, _ in own]) == pytest.approx(cost(ts.best_path(states, CONVENTIONS)))
