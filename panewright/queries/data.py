@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panewright.operators.malformed import Layout, Parsed, hhmm_or_null, is_null, minutes_or_null, parse, whole_number, yes_or_no
 from panewright.operators.skew import heavy_keys, per_key
-from panewright.operators.timestamps import Conventions, normalise
+from panewright.operators.timestamps import ABBREVIATIONS, MONTHS, Conventions, normalise
 from panewright.operators.trailing import rolling
 from panewright.sources import code, table
 
@@ -118,6 +118,50 @@ QUERIES |= {"p2_found": p2_found, "p2_moments": p2_moments, "p2_ambiguous": p2_a
 SQL["p2_ambiguous"] = "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders"
 
 
+_AREA = "[A-Za-z][A-Za-z0-9_+-]*(?:/[A-Za-z0-9_+-]+)+"
+_ABBR = "|".join(sorted(ABBREVIATIONS, key=lambda x: (-len(x), x)))
+_SQL_CLOCK = "([0-9]{1,2})[:h]([0-9]{2})(?::([0-9]{2})(?:[.]([0-9]+))?)?(?: ?([AaPp])[Mm])?"
+_SQL_MONTH = f"coalesce(list_position({list(MONTHS)}, lower({{0}})), list_position({[m[:3] for m in MONTHS]}, lower({{0}})), 0)"
+_SQL_DATES = (  # pattern, year, month and day
+    ("([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})", "m.a", "m.b", "m.c"), ("([0-9]{4})([0-9]{2})([0-9]{2})", "m.a", "m.b", "m.c"),
+    ("([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{2})", "m.c", "m.a", "m.b"), ("([0-9]{1,2})[.]([0-9]{1,2})[.]([0-9]{4}|[0-9]{2})", "m.c", "m.b", "m.a"),
+    ("(?:[A-Za-z]+, )?([0-9]{1,2})[ -]([A-Za-z]{3,9})[ -]([0-9]{4}|[0-9]{2})", "m.c", _SQL_MONTH.format("m.b"), "m.a"), ("(?:[A-Za-z]+, )?([A-Za-z]{3,9}) ([0-9]{1,2}),? ([0-9]{4})", "m.c", _SQL_MONTH.format("m.a"), "m.b"),
+)
+
+
+def _sql_date(pattern: str, year: str, month: str, day: str) -> str:
+    m = f"regexp_extract(dt, '^{pattern}$', ['a', 'b', 'c'])"
+    y, mo, d = (x.replace("m.", m + ".") for x in (year, month, day))
+    return f"when regexp_full_match(dt, '{pattern}') then try_cast((case when length({y}) = 2 then '20' else '' end) || {y} || '-' || lpad(cast({mo} as varchar), 2, '0') || '-' || lpad({d}, 2, '0') as date)"
+
+
+_WALL = "epoch_us(timezone(place, make_timestamptz({0})))"
+_DAY = 86_400_000_000
+SQL["p2_found"] = f"""with z as (select upper(trim(airport_code, ' ')) as code, min(tz_name) as tz from airports group by 1),
+s as (select stamp_id, field, trim(value, ' ') as v, trim(FlightDate, ' ') as fd, tz
+ from (select stamp_id, Origin, FlightDate, unnest(['CRSDepTime', 'DepTime']) as field, unnest([CRSDepTime, DepTime]) as value from departure_stamps) left join z on upper(trim(Origin, ' ')) = code),
+a as (select *, coalesce(nullif(regexp_extract(v, '\\[({_AREA})\\]$', 1), ''), nullif(regexp_extract(v, ' ({_AREA})$', 1), ''), '') as area,
+ regexp_extract(v, '[0-9 Mm]([+-][0-9]{{2}}:?[0-9]{{2}})$', 1) as num, regexp_extract(v, '({_ABBR})$', 1) as abbr from s where v is not null),
+b as (select *, case when area <> '' then regexp_replace(v, ' ?(\\[{_AREA}\\]|{_AREA})$', '') when num <> '' then regexp_replace(v, ' ?[+-][0-9]{{2}}:?[0-9]{{2}}$', '')
+ when abbr <> '' then regexp_replace(v, ' ?({_ABBR})$', '') else v end as b, area = '' and num = '' and abbr = '' as bare,
+ case when area <> '' then null when num <> '' then case when num[2:3]::int <= 18 and replace(num, ':', '')[4:5]::int < 60 then (num[2:3]::int * 3600 + replace(num, ':', '')[4:5]::int * 60) * (case when num[1] = '-' then -1 else 1 end) end
+ when abbr <> '' then map({list(ABBREVIATIONS)}, {list(ABBREVIATIONS.values())})[abbr] end as off from a),
+c as (select *, case when regexp_full_match(b, '[0-9]{{1,4}}') then {{'d': '', 'h': lpad(b, 4, '0')[1:2], 'm': lpad(b, 4, '0')[3:4], 's': '', 'f': '', 'half': ''}}
+ when regexp_full_match(b, '[0-9]{{8}}T?[0-9]{{6}}') then {{'d': b[1:8], 'h': replace(b, 'T', '')[9:10], 'm': replace(b, 'T', '')[11:12], 's': replace(b, 'T', '')[13:14], 'f': '', 'half': ''}}
+ when regexp_full_match(b, '(?:([^|]*?[^| T])(?:T| +))?{_SQL_CLOCK}') then regexp_extract(b, '^(?:([^|]*?[^| T])(?:T| +))?{_SQL_CLOCK}$', ['d', 'h', 'm', 's', 'f', 'half']) end as t,
+ case when area <> '' then (select name from pg_timezone_names() n where n.name = area) when bare then tz end as place from b),
+d as (select *, t.h::int as h, t.m::int as mi, coalesce(try_cast(t.s as int), 0) as sec, rpad(t.f[1:6], 6, '0')::int as us, lower(t.half) as half, case when t.d = '' then fd else t.d end as dt from c where t is not null),
+e as (select *, case {" ".join(_sql_date(*x) for x in _SQL_DATES)} end as day,
+ case when mi < 60 and sec < 60 and (case when half = '' then h < 24 or h = 24 and mi = 0 and sec = 0 and us = 0 else h between 1 and 12 end)
+ then ((case when half = '' then h else h % 12 + (case when half = 'p' then 12 else 0 end) end) * 3600 + mi * 60 + sec)::bigint * 1000000 + us end as clock from d),
+l as (select *, epoch_us(day::timestamp) + clock as local from e where day is not null and clock is not null),
+n as (select *, local - ({_WALL.format(f"local - {_DAY}")} - (local - {_DAY})) as ub, local - ({_WALL.format(f"local + {_DAY}")} - (local + {_DAY})) as ua from l where off is null and place is not null),
+o as (select stamp_id, field, case when ub = ua then ub when {_WALL.format("ub")} = local and {_WALL.format("ua")} = local then -1 when {_WALL.format("ub")} = local then ub when {_WALL.format("ua")} = local then ua else -2 end as u from n
+ union all select stamp_id, field, local - off::bigint * 1000000 from l where off is not null
+ union all select stamp_id, field, rpad(b, 16, '0')::bigint from b where bare and regexp_full_match(b, '[0-9]{{10}}|[0-9]{{13}}|[0-9]{{16}}'))
+select stamp_id, field, case u when -1 then 'overlap' when -2 then 'gap' else strftime(make_timestamp(u), '%Y-%m-%dT%H:%M:%S.%fZ') end as moment from o"""
+
+
 def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
     """All of the trailing periods' columns for DepDel15."""
     return rolling(table(spark, d, ON_TIME), code("Origin"), F.col("FlightDate"), F.col("DepDel15"), FIRST_DAY, LAST_DAY, (7, 30), "origin")
