@@ -14,6 +14,7 @@ from panewright.plans.rewrite import Rewrites
 from panewright.plans.window import WindowDef, asc, desc, window
 from panewright.operators.spread_windows import spread
 from panewright.sources import code, header_csv, scratch_path, table
+from panewright.streaming import running
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -298,6 +299,23 @@ SQL["sql_text"] = """select event_id, count(*) over (partition by user_id order
 lag(event_type) over (partition by user_id order by ts nulls first, event_id nulls first) as before from events"""
 
 
+def streamed(spark: SparkSession, d: str) -> DataFrame:
+    """Row numbers, running totals and the value before, computed by a stream over the events; its output is read back."""
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    cents = stream.select("event_id", "user_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    out = scratch_path(spark, "streamed")
+    written = running(cents, ["user_id"], ["ts", "event_id"], "cents").writeStream.option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True)
+    written.format("parquet").start(out).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "n", "total", "least", "most", "before")
+
+
+QUERIES["streamed"] = streamed
+SQL["streamed"] = """select event_id, cast(row_number() over w as bigint) as n, cast(sum(cents) over r as bigint) as total, min(cents) over r as least, max(cents) over r as most, lag(cents) over w as before
+from (select *, cast(round(value * 100) as bigint) as cents from events)
+window w as (partition by user_id order by ts nulls first, event_id nulls first), r as (partition by user_id order by ts nulls first, event_id nulls first rows between unbounded preceding and current row)"""
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Flights from one airport: the delays among the three flights before to the same place, and a sequence number."""
     w = window().partition_by("Dest").order_by("Year", "Month", "DayofMonth", "Deptime", "row_id")

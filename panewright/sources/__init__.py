@@ -36,9 +36,9 @@ def code(name: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, else, in local tests, one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, else the one set on the context, else, in local sessions, one of our own."""
     context = spark.sparkContext
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not given:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -55,6 +55,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes what this process has written to scratch paths and returns how many there were; results that read them must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = sum(bool(path(p).getFileSystem(conf).delete(path(p), True)) for p in _SCRATCH)
+    _SCRATCH.clear()
+    return removed

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panewright import col, row_number, sum_, window
-from panewright.sources import checkpointed, code, header_csv, scratch_path, shared_folder, spread_table
+from panewright.sources import checkpointed, clear_scratch, code, header_csv, scratch_path, shared_folder, spread_table
 
 
 def test_header_csv(spark, tmp_path) -> None:  # noqa: ANN001
@@ -38,3 +38,18 @@ def test_small_tables_are_spread(spark, tmp_path) -> None:  # noqa: ANN001
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
     df = spread_table(spark, str(tmp_path), "t", "id")
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and df.count() == 100
+
+
+def test_scratch_is_cleared(spark) -> None:  # noqa: ANN001
+    clear_scratch(spark)
+    path = scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    scratch_path(spark, "never-written")
+    assert spark.read.parquet(path).count() == 3 and clear_scratch(spark) == 1 and clear_scratch(spark) == 0
+
+
+def test_a_folder_set_on_the_context_is_used() -> None:
+    from types import SimpleNamespace
+
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: "hdfs://n/c/uuid", setCheckpointDir=None)
+    assert shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d))) == "hdfs://n/c/uuid"
