@@ -302,7 +302,7 @@ lag(event_type) over (partition by user_id order by ts nulls first, event_id nul
 def streamed(spark: SparkSession, d: str) -> DataFrame:
     """Row numbers, running totals and the value before, computed by a stream over the events; its output is read back."""
     events = table(spark, d, "events")
-    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]")  # a pattern may be a file or a folder
     cents = stream.select("event_id", "user_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
     out = scratch_path(spark, "streamed")
     written = running(cents, ["user_id"], ["ts", "event_id"], "cents").writeStream.option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True)
