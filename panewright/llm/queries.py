@@ -68,6 +68,11 @@ def p6_daily(spark: SparkSession, d: str) -> DataFrame:
     return summaries(rows, {"field": F.col("e.field"), "code": F.col("e.code"), "day": F.col("FlightDate").cast("string")}, F.col("DepDelayMinutes"))
 
 
+def p6_days(spark: SparkSession, d: str) -> DataFrame:
+    """How many values each day's summary stands for."""
+    return p6_daily(spark, d).select("field", "code", "day", "n")
+
+
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """The percentiles of each UniqueCarrier and Origin over all days, out of the daily summaries; null is a group."""
     found = percentiles(merge_summaries(p6_daily(spark, d), _CODES), _CODES, PERCENTILES)
@@ -94,7 +99,9 @@ def p6_within(spark: SparkSession, d: str) -> DataFrame:
     return ranks.select("field", "code", "n", (every & (F.col("n") == F.col("c"))).alias("within"))
 
 
-QUERIES |= {"p6_percentiles": p6_percentiles, "p6_daily": p6_daily, "p6_within": p6_within}
+QUERIES |= {"p6_percentiles": p6_percentiles, "p6_daily": p6_daily, "p6_days": p6_days, "p6_within": p6_within}
+_SQL_FIELDS = f"(select unnest(['UniqueCarrier', 'Origin']) as field, unnest([UniqueCarrier, upper(trim(Origin, ' '))]) as code, FlightDate, DepDelayMinutes from {ON_TIME})"
+SQL["p6_days"] = f"select field, code, cast(FlightDate as varchar) as day, count(*) as n from {_SQL_FIELDS} where DepDelayMinutes is not null group by all"
 SQL["p6_within"] = f"""select 'UniqueCarrier' as field, UniqueCarrier as code, count(*) as n, true as "within" from {ON_TIME} where DepDelayMinutes is not null group by UniqueCarrier
 union all select 'Origin', upper(trim(Origin, ' ')), count(*), true from {ON_TIME} where DepDelayMinutes is not null group by upper(trim(Origin, ' '))"""
 
@@ -108,12 +115,22 @@ def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_with_offsets(spread_table(spark, d, "documents", "doc_id", "text")).drop("text")
 
 
+def p7_covered(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document how many characters its tokens cover, and whether each goes on where the one before ended, but for characters split over tokens."""
+    found = p7_offsets(spark, d)
+    steps = F.zip_with(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda s, e: (s == e) | (s == e - 1))
+    chained = F.when(F.size("starts") < 2, F.lit(True)).otherwise(F.forall(steps, lambda x: x))
+    first = F.coalesce(F.get("starts", F.lit(0)), F.lit(0)) == 0
+    return found.select("doc_id", F.coalesce(F.array_max("ends"), F.lit(0)).cast("bigint").alias("n_covered"), (chained & first).alias("chained"))
+
+
 def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The texts again, from their ids; null comes back empty."""
     return tokens.decoded(tokens.encode(spread_table(spark, d, "documents", "doc_id", "text")), text="text_again").select("doc_id", "text_again")
 
 
-QUERIES |= {"p7_ids": p7_ids, "p7_offsets": p7_offsets, "p7_round_trip": p7_round_trip}
+QUERIES |= {"p7_ids": p7_ids, "p7_offsets": p7_offsets, "p7_covered": p7_covered, "p7_round_trip": p7_round_trip}
+SQL["p7_covered"] = "select doc_id, n_chars as n_covered, true as chained from documents"
 SQL["p7_round_trip"] = "select doc_id, coalesce(text, '') as text_again from documents"
 
 

@@ -93,12 +93,21 @@ _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA
 _MEMO_CHARS = 16_000_000
 
 
+@functools.lru_cache(maxsize=4)
+def byte_level(path: str) -> bool:
+    """Whether the file's tokenizer takes texts as they are and splits them by the byte-level pattern above: only then do words stand for themselves."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    pre = said.get("pre_tokenizer") or {}
+    return not said.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+
+
 class Memo:
     """Ids of words and of pieces of words that the library has encoded before, as identifiers and code repeat. Exact: the words are those
     that the pre-tokenizer separates anyway."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = load(path)
+        self.tokenizer, self.by_words = load(path), byte_level(path)
         self.words: dict[str, list[int]] = {}
         self.pieces: dict[str, list[int]] = {}
         self.chars = 0
@@ -122,7 +131,10 @@ class Memo:
         self.chars += sum(map(len, words)) + sum(map(len, new))
 
     def encode(self, texts: list[str]) -> tuple[array, list[int]]:
-        """Flat ids, and how many each text has."""
+        """Flat ids, and how many each text has. A tokenizer of another kind than the byte-level one gets texts whole."""
+        if not self.by_words:
+            found = self._library(texts)
+            return array("i", chain.from_iterable(found)), list(map(len, found))
         if self.chars > _MEMO_CHARS:
             self.words, self.pieces, self.chars = {}, {}, 0
         split = [[] if _ODD.search(t) else _WORD.findall(t) for t in texts]
@@ -197,6 +209,8 @@ def encode_with_offsets(df: DataFrame, text: str = "text", path: str | None = No
     """`df` with `ids`, and `starts` and `ends`: the characters (code points) that each token covers. A character split over tokens is covered by each."""
     path = path or tokenizer_path()
     _new(df, "ids", "starts", "ends")
+    if not byte_level(path):
+        raise ValueError("offsets come from the tokens' bytes, which only a byte-level tokenizer without normaliser keeps")
 
     def make(texts: list[str | None]) -> list[pa.Array]:
         flat, offsets = encode_batch(texts, path)

@@ -53,3 +53,15 @@ def test_tables(spark) -> None:  # noqa: ANN001
     assert t.encode(df.limit(0)).collect() == []
     with pytest.raises(ValueError, match="already"):
         t.encode(df.withColumnRenamed("doc_id", "IDS"))
+
+
+def test_other_tokenizers_get_texts_whole(spark) -> None:  # noqa: ANN001
+    """One that normalises and splits otherwise: ids are the library's, offsets are refused."""
+    path = t.tokenizer_path("word_bpe_49k.json")
+    assert t.byte_level(t.tokenizer_path()) and not t.byte_level(path)
+    texts = ["Hello  WORLD\n\tit's e\u0301 42", "", None, "naïve  café"]
+    flat, offsets = t.encode_batch(texts, path)
+    got = [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)]
+    assert got == [t.load(path).encode(x or "", add_special_tokens=False).ids for x in texts]
+    with pytest.raises(ValueError, match="byte-level"):
+        t.encode_with_offsets(spark.createDataFrame([("a",)], "text string"), path=path)
