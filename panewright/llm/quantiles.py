@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,37 +172,58 @@ def _seed(*parts: object) -> int:
 
 #: Groups that a task holds summaries of before it passes them on.
 _HELD = 20_000
+#: Tasks from which on their summaries are merged in two steps.
+TREE_FROM = 1_000
 
 
-def _partials(keys: list[str], section: int):  # noqa: ANN202
-    """Per task, summaries of the groups in its rows; passed on when the table is full. Merging makes them whole."""
+def _codes(columns: list[tuple[np.ndarray, int]], rows: int) -> np.ndarray:
+    """One number for each distinct combination of the columns' codes; a column is its codes and how many there may be."""
+    out, most = np.zeros(rows, dtype=np.int64), 1
+    for codes, n in columns:
+        if most * n >= 1 << 62:
+            distinct, out = np.unique(out, return_inverse=True)
+            most = len(distinct)
+        out, most = out * n + codes, most * n
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _partials(names: list[str], keysets: list[tuple[str | None, list[str]]], section: int):  # noqa: ANN202
+    """Per task, summaries of the groups in its rows, for each set of key columns (after a constant, if one is given); passed on when the table is full.
+    Merging makes them whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Sketch] = {}
+        kinds: list[pa.DataType] = []
 
-        def passed_on() -> pd.DataFrame:
-            rows = [(*k, s.n, s.to_bytes()) for k, s in held.items()]
+        def passed_on() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True))
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+            arrays += [pa.array([s.n for s in held.values()], pa.int64()), pa.array([s.to_bytes() for s in held.values()], pa.binary())]
             held.clear()
-            return pd.DataFrame(rows, columns=[*keys, "n", "sketch"])
+            return pa.RecordBatch.from_arrays(arrays, names=[*names, "n", "sketch"])
 
         for b in batches:
-            if b.empty:
+            if not b.num_rows:
                 continue
-            columns = [b[k].to_numpy(dtype=object) for k in keys]
-            codes = np.zeros(len(b), dtype=np.int64)
-            for c in keys:
-                code, distinct = pd.factorize(b[c], use_na_sentinel=False)
-                codes = pd.factorize(codes * (len(distinct) + 1) + code)[0]
-            order = np.argsort(codes, kind="stable")
-            values = b["v"].to_numpy(dtype=np.float64)[order]
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(codes[order])) + 1, [len(values)]]).tolist()
-            for low, high in zip(starts, starts[1:], strict=False):
-                at, part = order[low], values[low:high]
-                key = tuple(None if c[at] is None or c[at] != c[at] else c[at] for c in columns)
-                summary = held.get(key)
-                if summary is None:
-                    summary = held[key] = Sketch(section, _seed(key, len(part), float(part[0])))
-                summary.update(part)
+            v = b.column(b.schema.get_field_index("v")).to_numpy(zero_copy_only=False)
+            coded: dict[str, tuple[np.ndarray, list]] = {}
+            for c in {c for _, columns in keysets for c in columns}:
+                d = b.column(b.schema.get_field_index(c)).dictionary_encode(null_encoding="encode")
+                coded[c] = (np.asarray(d.indices), d.dictionary.to_pylist())
+            for constant, columns in keysets:
+                lead = [] if constant is None else [constant]
+                kinds[:] = [pa.string()] * len(lead) + [b.schema.field(c).type for c in columns]
+                codes = _codes([(coded[c][0], len(coded[c][1])) for c in columns], len(v))
+                order = np.argsort(codes, kind="stable")
+                values, sorted_codes = v[order], codes[order]
+                starts = np.flatnonzero(np.diff(sorted_codes, prepend=sorted_codes[0] - 1))
+                keys = zip(*(map(coded[c][1].__getitem__, coded[c][0][order[starts]].tolist()) for c in columns), strict=True)
+                for low, high, key in zip(starts.tolist(), [*starts[1:].tolist(), len(v)], keys, strict=True):
+                    part, whole = values[low:high], (*lead, *key)
+                    summary = held.get(whole)
+                    if summary is None:
+                        summary = held[whole] = Sketch(section, _seed(whole, len(part), float(part[0])))
+                    summary.update(part)
             if len(held) > _HELD:
                 yield passed_on()
         if held:
@@ -238,15 +260,28 @@ def _schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", n bigint, sketch binary"
 
 
-def summaries(df: DataFrame, keys: dict[str, Column], value: Column, section: int = SECTION) -> DataFrame:
-    """One mergeable summary per key: the keys, `n` and `sketch`.
+def summaries(df: DataFrame, keys: dict[str, Column], value: Column, section: int = SECTION, each: dict[str, Column] | None = None) -> DataFrame:
+    """One mergeable summary per key: the keys, `n` and `sketch`. With `each`, one per key and value of each of these columns, in one pass: the column's name is
+    `field`, its value `code`, and they come before the keys.
 
     Every task summarises its own rows, and only summaries are shuffled. Null and NaN values are left out, and a key with no other has no row. Null keys are
     keys. Ties and repeated rows all count. An empty table gives no rows.
     """
-    names = list(keys)
-    held = df.select(*(c.alias(k) for k, c in keys.items()), value.cast("double").alias("v")).where("v is not null and not isnan(v)")
-    return merge_summaries(held.mapInPandas(_partials(names, section), _schema(held, names)), names, section)
+    extra = each or {}
+    columns = {**{f"__e{i}": c for i, c in enumerate(extra.values())}, **{f"__k{i}": c for i, c in enumerate(keys.values())}}
+    held = df.select(*(c.alias(k) for k, c in columns.items()), value.cast("double").alias("v")).where("v is not null and not isnan(v)")
+    own = [f"__k{i}" for i in range(len(keys))]
+    keysets = [(name, [f"__e{i}", *own]) for i, name in enumerate(extra)] if each else [(None, own)]
+    names = [*(["field", "code"] if each else []), *keys]
+    kinds = [held.schema[c].dataType.simpleString() for c in keysets[0][1]]
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, [*(["string"] if each else []), *kinds], strict=True)) + ", n bigint, sketch binary"
+    parts = held.mapInArrow(_partials(names, keysets, section), schema)
+    tasks = held.rdd.getNumPartitions()
+    if tasks >= TREE_FROM:
+        # As many lots as summaries in a lot, so that no task merges one group's summaries of all tasks.
+        lots = parts.withColumn("__lot", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(tasks))))
+        parts = merge_summaries(lots, [*names, "__lot"], section).drop("__lot")
+    return merge_summaries(parts, names, section)
 
 
 def merge_summaries(parts: DataFrame, keys: list[str], section: int = SECTION) -> DataFrame:

@@ -63,9 +63,8 @@ _CODES = ["field", "code"]
 
 def p6_daily(spark: SparkSession, d: str) -> DataFrame:
     """A summary of DepDelayMinutes for each day of each UniqueCarrier and each Origin: `field`, `code`, `day`, `n`, `sketch`."""
-    entries = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), v.alias("code")) for c, v in (("UniqueCarrier", F.col("UniqueCarrier")), ("Origin", code("Origin"))))))
-    rows = table(spark, d, ON_TIME).select("FlightDate", "DepDelayMinutes", entries.alias("e"))
-    return summaries(rows, {"field": F.col("e.field"), "code": F.col("e.code"), "day": F.col("FlightDate").cast("string")}, F.col("DepDelayMinutes"))
+    each = {"UniqueCarrier": F.col("UniqueCarrier"), "Origin": code("Origin")}
+    return summaries(table(spark, d, ON_TIME), {"day": F.col("FlightDate").cast("string")}, F.col("DepDelayMinutes"), each=each)
 
 
 def p6_days(spark: SparkSession, d: str) -> DataFrame:

@@ -70,3 +70,23 @@ def test_tables(spark, monkeypatch) -> None:  # noqa: ANN001
         assert r["n"] == 2 * sum(v % 11 > 0 for v in range(2_000)) and abs(r["p50"] - 1_000) < 30 and abs(r["p99"] - 1_980) < 4
     assert {(r["k"], r["d"]) for r in daily.collect()} == {(k, d) for k in got for d in (1, 2)}
     assert q.percentiles(q.summaries(df.limit(0), {"k": F.col("k")}, F.col("v")), ["k"], {"p": 0.5}).collect() == []
+
+
+def test_several_groupings_in_one_pass_and_merging_in_two_steps(spark, monkeypatch) -> None:  # noqa: ANN001
+    rows = [(("a", None)[v % 2], v % 3, float(v)) for v in range(3_000)]
+    df = spark.createDataFrame(rows, "k string, j int, v double").repartition(6)
+    each = {"K": F.col("k"), "J": F.col("j").cast("string")}
+    for tree in (1_000, 2):
+        monkeypatch.setattr(q, "TREE_FROM", tree)
+        found = q.summaries(df, {"half": F.col("v") < 1_500}, F.col("v"), each=each)
+        got = {(r["field"], r["code"], r["half"]): r for r in q.percentiles(found, ["field", "code", "half"], {"least": 0.0, "p50": 0.5}).collect()}
+        assert {k[:2] for k in got} == {("K", "a"), ("K", None), ("J", "0"), ("J", "1"), ("J", "2")} and len(got) == 10
+        assert got["K", None, True]["n"] == 750 and got["K", None, True]["least"] == 1.0 and abs(got["J", "1", False]["p50"] - 2_250) < 40
+
+
+def test_codes_of_many_columns() -> None:
+    rng = np.random.default_rng(4)
+    columns = [(rng.integers(0, 3, 500), 1 << 21) for _ in range(4)]
+    codes = q._codes(columns, 500)
+    tuples = list(zip(*(c for c, _ in columns), strict=True))
+    assert len(set(codes.tolist())) == len(set(tuples)) == len(set(zip(codes.tolist(), tuples, strict=True)))
