@@ -260,8 +260,8 @@ def mix(sizes: DataFrame, planned: list[Plan], seed: int = 11, block: int = BLOC
     listed = sizes.select("doc_id", "source", F.col("n_tokens").cast("bigint").alias("n_tokens"))
 
     # The largest documents of sources that are cut into blocks, fewer than OUTLIER of each, are drawn here.
-    bounds = spark.createDataFrame([(x.source, -(-x.available // OUTLIER)) for x in known if x.documents > block] or [("", 0)], "source string, over bigint")
-    large = listed.join(F.broadcast(bounds), "source").where("n_tokens > over").select("doc_id", "source", "n_tokens").collect()
+    cut = [(x.source, -(-x.available // OUTLIER)) for x in known if x.documents > block]
+    large = listed.join(F.broadcast(spark.createDataFrame(cut, "source string, over bigint")), "source").where("n_tokens > over").select("doc_id", "source", "n_tokens").collect() if cut else []
     rng, drawn, rows = np.random.default_rng((seed, 7)), [], []
     for x in known:
         base = int(math.floor(x.uses + _EPS))
