@@ -31,7 +31,7 @@ _LOW = 0xFFFFFFFF
 class Rewrites:
     """Which rewrites may be used.
 
-    prefix: SUM and COUNT of exact types over `n .. UNBOUNDED FOLLOWING` as total minus prefix.
+    prefix: SUM and COUNT of exact types over `n .. UNBOUNDED FOLLOWING` as total minus prefix, unless the order may be reversed.
     reverse: other aggregates over `n .. UNBOUNDED FOLLOWING` with the order reversed; for ROWS only under `unique_order`.
     slide: SUM and COUNT of exact types over a sliding frame, of at least `slide_from` rows or of values, as a difference of prefixes.
     shift: MIN, MAX, and SUM and AVG of a stated type, over a single other row as lead or lag.
@@ -65,7 +65,8 @@ def aggregate(name: str, args: tuple[Column, ...], result_type: str | None, make
         return _distinct(args[0], w, frame, use)
     bounded = None not in (frame.low, frame.high)
     if bool(w.order) and (name == "count" or name == "sum" and _roomy(result_type)):
-        if frame.kind == ROWS and use.prefix and frame.low is not None and frame.high is None:
+        turning = use.reverse and use.unique_order and w.reversible
+        if frame.kind == ROWS and use.prefix and not turning and frame.low is not None and frame.high is None:
             return _difference(name, args, result_type, make, [w.framed(WHOLE)], [w.framed(Frame(ROWS, None, frame.low - 1))])
         if frame.kind == ROWS and use.slide and bounded and frame.high - frame.low + 1 >= max(2, use.slide_from):
             return _difference(name, args, result_type, make, [w.framed(Frame(ROWS, None, frame.high))], [w.framed(Frame(ROWS, None, frame.low - 1))])
