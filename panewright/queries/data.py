@@ -101,6 +101,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return named.select("stamp_id", "field", F.when(F.col("status") == "ok", F.col("moment")).otherwise(F.col("status")).alias("moment"))
 
 
+def p2_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """How many interpretations every value has, and what became of it; null where it names no time."""
+    return p2_moments(spark, d).select("stamp_id", "field", "n_interpretations", "status")
+
+
 def p2_ambiguous(spark: SparkSession, d: str) -> DataFrame:
     """Dates of orders written day first by some sources and month first by others, read without conventions: only the order of each source's records tells."""
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderpriority")
@@ -114,7 +119,7 @@ def p2_ambiguous(spark: SparkSession, d: str) -> DataFrame:
     return read.select((F.col("at") % 10**12).alias("o_orderkey"), F.substring("moment", 1, 10).alias("day"))
 
 
-QUERIES |= {"p2_found": p2_found, "p2_moments": p2_moments, "p2_ambiguous": p2_ambiguous}
+QUERIES |= {"p2_found": p2_found, "p2_moments": p2_moments, "p2_statuses": p2_statuses, "p2_ambiguous": p2_ambiguous}
 SQL["p2_ambiguous"] = "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders"
 
 
@@ -137,7 +142,7 @@ def _sql_date(pattern: str, year: str, month: str, day: str) -> str:
 
 _WALL = "epoch_us(timezone(place, make_timestamptz({0})))"
 _DAY = 86_400_000_000
-SQL["p2_found"] = f"""with z as (select upper(trim(airport_code, ' ')) as code, min(tz_name) as tz from airports group by 1),
+_SQL_TIMES = f"""with z as (select upper(trim(airport_code, ' ')) as code, min(tz_name) as tz from airports group by 1),
 s as (select stamp_id, field, trim(value, ' ') as v, trim(FlightDate, ' ') as fd, tz
  from (select stamp_id, Origin, FlightDate, unnest(['CRSDepTime', 'DepTime']) as field, unnest([CRSDepTime, DepTime]) as value from departure_stamps) left join z on upper(trim(Origin, ' ')) = code),
 a as (select *, coalesce(nullif(regexp_extract(v, '\\[({_AREA})\\]$', 1), ''), nullif(regexp_extract(v, ' ({_AREA})$', 1), ''), '') as area,
@@ -159,7 +164,11 @@ n as (select *, local - ({_WALL.format(f"local - {_DAY}")} - (local - {_DAY})) a
 o as (select stamp_id, field, case when ub = ua then ub when {_WALL.format("ub")} = local and {_WALL.format("ua")} = local then -1 when {_WALL.format("ub")} = local then ub when {_WALL.format("ua")} = local then ua else -2 end as u from n
  union all select stamp_id, field, local - off::bigint * 1000000 from l where off is not null
  union all select stamp_id, field, rpad(b, 16, '0')::bigint from b where bare and regexp_full_match(b, '[0-9]{{10}}|[0-9]{{13}}|[0-9]{{16}}'))
-select stamp_id, field, case u when -1 then 'overlap' when -2 then 'gap' else strftime(make_timestamp(u), '%Y-%m-%dT%H:%M:%S.%fZ') end as moment from o"""
+"""
+SQL["p2_found"] = f"{_SQL_TIMES} select stamp_id, field, case u when -1 then 'overlap' when -2 then 'gap' else strftime(make_timestamp(u), '%Y-%m-%dT%H:%M:%S.%fZ') end as moment from o"
+SQL["p2_statuses"] = f"""{_SQL_TIMES} select d.stamp_id, d.field, cast(case when u is null then 0 when u = -1 then 2 else 1 end as int) as n_interpretations,
+ case when u is null then null when u = -1 then 'overlap' when u = -2 then 'gap' else 'ok' end as status
+from (select stamp_id, unnest(['CRSDepTime', 'DepTime']) as field from departure_stamps) d left join o on o.stamp_id = d.stamp_id and o.field = d.field"""
 
 
 def p3_rolling(spark: SparkSession, d: str) -> DataFrame:
