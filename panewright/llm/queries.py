@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panewright.llm import abuse, mixing, tokens
 from panewright.llm.quantiles import merge_summaries, percentiles, rank_error, summaries
-from panewright.llm.topn import cluster, skipped, top_n_of
+from panewright.llm.topn import kept_layout, skipped, top_n
 from panewright.sources import code, scratch_path, spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,18 +35,26 @@ def _departures(spark: SparkSession, d: str) -> list[tuple]:
     ]
 
 
+#: Session setting: a folder that the layouts of problem 4 are kept in and read from again. Unset, each query writes its own.
+LAYOUTS = "spark.panewright.topn.layouts"
+
+
+def _layouts(spark: SparkSession, d: str) -> list[tuple[str, str, int]]:
+    """Name, layout and N of what is asked."""
+    folder = spark.conf.get(LAYOUTS, None)
+    at = lambda name: f"{folder.rstrip('/')}/{name}" if folder else scratch_path(spark, "topn")
+    return [(name, kept_layout(df, groups, score, F.col("row_id"), at(name)), n) for name, df, groups, score, n in _departures(spark, d)]
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The 10 latest departures per destination over the years, the 3 most delayed per destination and day of the quarter."""
-    parts = [top_n_of(df, groups, score, F.col("row_id"), n).select(F.lit(name).alias("table_name"), F.col("i").alias("row_id")) for name, df, groups, score, n in _departures(spark, d)]
+    parts = [top_n(spark, path, n).select(F.lit(name).alias("table_name"), F.col("i").alias("row_id")) for name, path, n in _layouts(spark, d)]
     return parts[0].unionByName(parts[1])
 
 
 def p4_skipped(spark: SparkSession, d: str) -> DataFrame:
     """How many row groups of the two layouts exist, aren't planned, are skipped and read for p4_found."""
-    parts = []
-    for name, df, groups, score, n in _departures(spark, d):
-        path = cluster(df, groups, score, F.col("row_id"), scratch_path(spark, "topn"))
-        parts.append(skipped(spark, path, n).select(F.lit(name).alias("table_name"), "*"))
+    parts = [skipped(spark, path, n).select(F.lit(name).alias("table_name"), "*") for name, path, n in _layouts(spark, d)]
     return parts[0].unionByName(parts[1])
 
 

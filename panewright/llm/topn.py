@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -245,6 +246,17 @@ def skipped(spark: SparkSession, path: str, n: int) -> DataFrame:
     return total.select("row_groups", (F.col("row_groups") - F.col("planned")).alias("not_planned"), (F.col("planned") - F.col("read")).alias("skipped"), "read")
 
 
+def kept_layout(df: DataFrame, groups: list[Column], score: Column, item: Column, path: str, file_rows: int = FILE_ROWS) -> str:
+    """The layout at `path`, written at once if it isn't there. The manifest is written last, so that a layout that broke off isn't taken for one."""
+    try:
+        manifest(df.sparkSession, path).schema  # noqa: B018
+        return path
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return cluster(df, groups, score, item, path, file_rows)
+
+
 def top_n_of(df: DataFrame, groups: list[Column], score: Column, item: Column, n: int, file_rows: int = FILE_ROWS) -> DataFrame:
     """Clusters `df` in the shared folder, at once, and asks for its N first items per group: `i`, `s` and `rank`.
 
