@@ -135,11 +135,13 @@ def spread(df: DataFrame, w: WindowDef, columns: dict[str, Node], share: Fractio
     Partitions with at least `share` of all rows are cut, and the whole table if `w` has no partition keys. Columns: aggregates over the whole partition or over
     frames of rows, of these sum, count, min and max over ones open at one end; row_number, rank and dense_rank; lead, lag and shift. The
     order must be unique, as everywhere for ROWS frames (for rank and dense_rank it needn't). Null is a value of order keys, and null partition keys are a
-    partition. An empty table gives no rows. Counts the keys' rows and sorts the hot ones at once.
+    partition. Columns of the table that begin with __ raise ValueError. An empty table gives no rows. Counts the keys' rows and sorts the hot ones at once.
     """
     use = use or Rewrites(unique_order=True)
     if clash := [c for c in columns if c in df.columns]:
         raise ValueError(f"the table has the columns {clash} already")
+    if own := [c for c in df.columns if c.startswith("__")]:
+        raise ValueError(f"columns that begin with __ are used inside; rename {own} first")
     if not w.order:
         raise ValueError("an order is needed")
     for name, e in columns.items():

@@ -77,5 +77,7 @@ def test_what_cannot_be_spread(spark) -> None:  # noqa: ANN001
             spread(df, w, {"x": bad})
     with pytest.raises(ValueError, match="already"):
         spread(df, w, {"v": row_number().over(w)})
+    with pytest.raises(ValueError, match="begin with __"):
+        spread(df.withColumn("__r", F.lit(1)), w, {"x": row_number()})
     with pytest.raises(ValueError, match="order"):
         spread(df, window().partition_by("i"), {"x": row_number()})
