@@ -373,16 +373,19 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
 
 def _fit_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One fit, as the sample is bounded, so that the driver holds no texts: task k leaves fold k out and scores it, the last leaves none out."""
+    """The fit that a partition is for, as the sample is bounded, so that the driver holds no texts: task k leaves fold k out and scores it, the last leaves none
+    out."""
     rows = pd.concat([pd.DataFrame({"__id": [], "__t": [], "__y": [], "__fold": [], "__task": []}), *batches]).sort_values(["__id", "__t"], kind="stable")
-    if not len(rows):
-        return
-    task = int(rows["__task"].iloc[0])
+    for task, own in rows.groupby("__task"):
+        yield _fitted(int(task), own)
+
+
+def _fitted(task: int, rows: pd.DataFrame) -> pd.DataFrame:
     out = rows["__fold"].to_numpy() == task
     model = fit(rows["__t"][~out].tolist(), rows["__y"][~out].tolist())
     scores = model.scores(rows["__t"][out].tolist()) if out.any() else np.zeros(0)
     packed = _packed(model) if task == FOLDS else (b"", b"", model.bias)
-    yield pd.DataFrame([(task, *packed, scores.astype("<f8").tobytes(), rows["__y"][out].to_numpy(bool).tobytes())], columns=["task", "feature", "weight", "bias", "scores", "flagged"])
+    return pd.DataFrame([(task, *packed, scores.astype("<f8").tobytes(), rows["__y"][out].to_numpy(bool).tobytes())], columns=["task", "feature", "weight", "bias", "scores", "flagged"])
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
